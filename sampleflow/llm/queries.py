@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repeats
+from . import jaccard, quality, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +19,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.substring_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_pairs(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.accepted_scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.suffix_repeats(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op7_ngram_jaccard_join, op8_quality_rules, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
