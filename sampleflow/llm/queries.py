@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, quality, repeats
+from . import bpe, jaccard, quality, repeats, simhash
+
+#: A public vocabulary of 50,256 byte-level ranks.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +23,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.substring_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
+    """Each document's tokens, and whether decoding them gives its text."""
+    tokens = _table(spark, sf_dir, "documents").select("doc_id", "text", bpe.encoded(F.col("text"), path).alias("tokens"))
+    return tokens.select("doc_id", "tokens", F.size("tokens").alias("n_tokens"), (bpe.decoded(F.col("tokens"), path) == F.col("text")).alias("exact"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_pairs(_table(spark, sf_dir, "documents"))
 
@@ -28,12 +38,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.accepted_scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.close_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.suffix_repeats(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op7_ngram_jaccard_join, op8_quality_rules, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op5_bpe, op7_ngram_jaccard_join, op8_quality_rules, op9_simhash, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
