@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, quality, repeats, simhash
+from . import bpe, jaccard, language, quality, repeats, simhash
 
 #: A public vocabulary of 50,256 byte-level ranks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -23,6 +23,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.substring_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.page_languages(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
     """Each document's tokens, and whether decoding them gives its text."""
     tokens = _table(spark, sf_dir, "documents").select("doc_id", "text", bpe.encoded(F.col("text"), path).alias("tokens"))
@@ -47,7 +51,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op5_bpe, op7_ngram_jaccard_join, op8_quality_rules, op9_simhash, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_language_id, op5_bpe, op7_ngram_jaccard_join, op8_quality_rules, op9_simhash, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
