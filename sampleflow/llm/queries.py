@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language, quality, repeats, simhash
+from . import bpe, jaccard, language, mixing, quality, repeats, sharding, simhash
 
 #: A public vocabulary of 50,256 byte-level ranks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -23,6 +23,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.substring_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    targets = {"quality 1, toxic 0": 0.9, "quality 0, toxic 0": 0.08, "quality 1, toxic 1": 0.02}
+    return mixing.rates(docs, mixing.fit(docs, mixing.train(docs, _table(spark, sf_dir, "labels")), targets))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.page_languages(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
 
@@ -33,6 +39,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataFra
     return tokens.select("doc_id", "tokens", F.size("tokens").alias("n_tokens"), (bpe.decoded(F.col("tokens"), path) == F.col("text")).alias("exact"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_pairs(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +61,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_language_id, op5_bpe, op7_ngram_jaccard_join, op8_quality_rules, op9_simhash, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op4_language_id, op5_bpe, op6_sharding, op7_ngram_jaccard_join, op8_quality_rules, op9_simhash, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
