@@ -5,7 +5,8 @@ domains, which are the combinations of the label columns that occur ("quality 1,
 toxic 0"). Document i with t words and posterior p adds rate * t * p[d] expected
 words to domain d; nonnegative rates are fitted so that the domains' totals meet the
 targets: least squares by projected gradient from rates of 1, whitened by the inverse
-of the sum of outer products, so that one step is exact unless a rate meets 0. Each
+of the sum of t * p p', so that one step is exact unless a rate meets 0, and scaled by
+1 / t, so that a rate depends on the posterior and not on the length. Each
 step sums over all documents in Spark; what a step needs of the former ones is a few
 numbers a domain, so a document's rate follows from its text alone, and applying the
 rates needs neither a join nor a shuffle.
@@ -158,14 +159,15 @@ class Fit:
         self.classifier, self.scale, self.steps, self.totals, self.targets = classifier, scale, steps, totals, targets
 
     def rates(self, words: np.ndarray, p: np.ndarray) -> np.ndarray:
-        a, r = p * (words / self.scale)[:, None], np.ones(len(words))
+        r = np.ones(len(words))
         for g in self.steps:
-            r = np.maximum(0.0, r - a @ g)
-        return r
+            r = np.maximum(0.0, r - p @ g)
+        return np.where(words > 0, r, 1.0)
 
 
-def fit(docs: DataFrame, classifier: Classifier | None, targets: Mapping[str, float], tolerance: float = 1e-4, most_steps: int = 40) -> Fit:
-    """Rates for the documents; ``targets`` are the domains' shares of the words there are."""
+def fit(docs: DataFrame, classifier: Classifier | None, targets: Mapping[str, float], keep_all: bool = False, tolerance: float = 1e-4, most_steps: int = 40) -> Fit:
+    """Rates for the documents; ``targets`` are the domains' shares of the words there are. keep_all: of
+    as many more words as it takes for no domain of a target above 0 to shrink, and 1 in 1000 on top."""
     if any(w < 0 for w in targets.values()) or sum(targets.values()) <= 0:
         raise ValueError("targets must be nonnegative, and not all 0")
     if classifier is None:
@@ -189,15 +191,15 @@ def fit(docs: DataFrame, classifier: Classifier | None, targets: Mapping[str, fl
     out = Fit(classifier, float(total), [], np.zeros(k), want / want.sum())
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of rate * a and of a a', over all rows and over those of a rate above 0."""
+        """Sums of rate * t * p and of t * p p', over all rows and over those of a rate above 0."""
         sums = np.zeros((2 * k + 1, k))
         for batch in batches:
             words, *p = (x.to_numpy() for x in batch.columns)
-            a = np.column_stack(p) * (words / out.scale)[:, None]
-            r = out.rates(words, np.column_stack(p))
+            p = np.column_stack(p)
+            a, r = p * (words / out.scale)[:, None], out.rates(words, p)
             sums[0] += r @ a
-            sums[1 : k + 1] += a.T @ a
-            sums[k + 1 :] += a[r > 0].T @ a[r > 0]
+            sums[1 : k + 1] += a.T @ p
+            sums[k + 1 :] += a[r > 0].T @ p[r > 0]
         yield pa.RecordBatch.from_pydict({"at": np.arange(sums.size, dtype=np.int32), "x": sums.ravel()})
 
     before = np.inf
@@ -206,6 +208,8 @@ def fit(docs: DataFrame, classifier: Classifier | None, targets: Mapping[str, fl
         sums = np.array([x.x for x in got]).reshape(2 * k + 1, k)
         whole, active = (g + 1e-12 * np.trace(g) * np.eye(k) for g in (sums[1 : k + 1], sums[k + 1 :]))
         out.totals = sums[0]
+        if keep_all and not out.steps:
+            out.targets = out.targets * (1.001 * (out.totals / np.where(want > 0, out.targets, np.inf)).max())
         miss = out.totals - out.targets
         if np.abs(miss).max() <= tolerance or len(out.steps) == most_steps:
             narrow.drop()

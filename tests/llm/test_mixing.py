@@ -48,6 +48,9 @@ def test_totals_meet_the_targets(tables):
     assert np.mean([np.argmax(out[i].posterior) == kinds[i] for i in range(400, 600)]) > 0.97
     assert out[9000].rate == out[9001].rate == 1 and out[9000].words == 0
     assert out[None].rate == out[0].rate
+    more = fit(docs, model, targets, keep_all=True)
+    assert np.allclose(more.totals / more.totals.sum(), found.targets, atol=2e-4) and more.totals.sum() > 1
+    assert all(x.rate > 0.999 for x in rates(docs, more).collect() if max(x.posterior) > 0.999)
     taken = mixed(docs, found)
     assert taken.columns == docs.columns and taken.count() == sum(x.copies for x in everything)
 
@@ -58,9 +61,9 @@ def test_steps_are_those_of_brute_force():
     found = Fit(None, words.sum(), [], np.zeros(3), np.zeros(3))
     a, r = (p * (words / words.sum())[:, None]).T, np.ones(200)
     for _ in range(5):
-        g = np.linalg.inv(a @ a.T) @ (a @ r - np.array([0.7, 0.25, 0.05]))
+        g = np.linalg.inv(a @ p) @ (a @ r - np.array([0.7, 0.25, 0.05]))
         found.steps.append(g)
-        r = np.maximum(0, r - a.T @ g)
+        r = np.maximum(0, r - p @ g)
     assert np.allclose(found.rates(words, p), r)
 
 
