@@ -18,6 +18,7 @@ tokens. Extra columns stay; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,7 @@ from . import flat
 from .spread import Ragged
 
 #: Bytes of text that are cut at once, and pieces that a worker remembers.
-CHUNK, REMEMBERED = 1 << 20, 400_000
+CHUNK, REMEMBERED = 1 << 20, 100_000
 _NONE = np.int64(1) << np.int64(40)
 LETTER, DIGIT, SPACE, OTHER = range(4)
 
@@ -100,10 +101,10 @@ class Vocabulary:
         pairs = [(tokens[t[:k]] << 32 | tokens[t[k:]], rank) for t, rank in tokens.items() for k in range(1, len(t)) if t[:k] in tokens and t[k:] in tokens]
         keys = np.array(sorted(pairs) or [(-1, 0)], dtype=np.int64)
         self.keys, self.merged = np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1])
-        self.met: dict[bytes, np.ndarray] = {}
+        self.met: dict[bytes, bytes] = {}
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Tokens of each word, in rounds over all of them."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Tokens of each word as int32, in rounds over all of them."""
         symbols = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
         own = np.repeat(np.arange(len(words)), [len(w) for w in words])
         done_symbols, done_own = [], []
@@ -139,9 +140,10 @@ class Vocabulary:
         order = np.argsort(whose, kind="stable")
         out = np.concatenate([*done_symbols, symbols]).astype(np.int32)[order]
         cuts = np.searchsorted(whose[order], np.arange(len(words) + 1))
-        return [out[i:j].copy() for i, j in zip(cuts, cuts[1:])]
+        raw = out.tobytes()
+        return [raw[4 * i : 4 * j] for i, j in zip(cuts.tolist(), cuts[1:].tolist())]
 
-    def tokens_of(self, words: list[bytes]) -> list[np.ndarray]:
+    def tokens_of(self, words: list[bytes]) -> list[bytes]:
         new = [w for w in dict.fromkeys(words) if w not in self.met]
         if new:
             if len(self.met) + len(new) > REMEMBERED:
@@ -149,11 +151,11 @@ class Vocabulary:
             self.met.update(zip(new, self.merge(new)))
         return [self.met[w] for w in words]
 
-    def encode(self, texts: pa.Array) -> pa.Array:
-        texts = texts.cast(pa.large_string())
-        counts, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    def _encoded(self, texts: pa.Array) -> Iterator[tuple[flat.Chunk, Ragged]]:
+        """The tokens of some texts at a time."""
         for c in flat.chunks(texts, CHUNK):
-            points = np.frombuffer(c.data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+            raw = c.data.tobytes()
+            points = np.frombuffer(raw.decode().encode("utf-32-le"), dtype=np.uint32)
             width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
             byte = np.append(0, np.cumsum(width))
             start = byte[pieces(points, np.searchsorted(byte, c.cuts[:-1]))]
@@ -162,13 +164,35 @@ class Vocabulary:
             sums = flat._sums(flat._BYTE[c.data], flat._BYTE_BASE)
             key = flat.mix((sums[end] - sums[start]) * flat._powers(flat._BYTE_BASE, len(c.data) + 1)[1][start])
             _, first, which = np.unique(key, return_index=True, return_inverse=True)
-            raw = c.data.tobytes()
             tokens = self.tokens_of([raw[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())])
-            each = Ragged(np.array([len(t) for t in tokens], dtype=np.int64), np.concatenate([*tokens, np.zeros(0, np.int32)]))
-            each = each.take(which)
-            counts.append(np.bincount(own, weights=each.counts, minlength=len(c.rows)).astype(np.int64))
-            out.append(each.values)
-        return _lists(np.concatenate(counts), np.concatenate(out), texts)
+            each = Ragged(np.array([len(t) // 4 for t in tokens], dtype=np.int64), np.frombuffer(b"".join(tokens), dtype=np.int32)).take(which)
+            yield c, Ragged(np.bincount(own, weights=each.counts, minlength=len(c.rows)).astype(np.int64), each.values)
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        return self.encode_exact(texts, check=False).field("tokens")
+
+    def encode_exact(self, texts: pa.Array, check: bool = True) -> pa.StructArray:
+        """The tokens, and whether they decode to the text."""
+        parts, exact = [], [np.zeros(0, dtype=bool)]
+        for c, found in self._encoded(texts):
+            parts.append(found)
+            if check:
+                ends = np.append(0, np.cumsum(self.lengths[found.values]))[np.append(0, np.cumsum(found.counts))]
+                same = ends == c.cuts
+                back = self.join(found.values)
+                wrong = np.append(0, np.cumsum(back != c.data)) if len(back) == len(c.data) else np.arange(len(c.data) + 1)
+                exact.append((np.diff(wrong[c.cuts]) == 0) & same[1:] & same[:-1])
+        null = texts.is_null().to_numpy(zero_copy_only=False)
+        counts = np.concatenate([np.zeros(0, np.int64), *(p.counts for p in parts)])
+        offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32), mask=np.append(null, False))
+        tokens = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *(p.values for p in parts)])))
+        known = pa.array(np.concatenate(exact), mask=null) if check else pa.nulls(len(texts), pa.bool_())
+        return pa.StructArray.from_arrays([tokens, known], ["tokens", "exact"])
+
+    def join(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all the tokens."""
+        count = self.lengths[ids]
+        return self.bytes[np.repeat(self.begins[ids] - np.cumsum(count) + count, count) + np.arange(count.sum())]
 
     def decode(self, ids: pa.Array) -> pa.Array:
         ids = ids.cast(pa.large_list(pa.int64()))
@@ -187,21 +211,13 @@ class Vocabulary:
         while low < len(ids):  # some MB at a time
             high = max(low + 1, int(np.searchsorted(ends[cuts], ends[cuts[low]] + CHUNK, side="right")) - 1)
             part = values[cuts[low] : cuts[high]]
-            count = self.lengths[part]
-            at = np.repeat(self.begins[part] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            raw, base = self.bytes[at].tobytes(), ends[cuts[low]]
+            raw, base = self.join(part).tobytes(), ends[cuts[low]]
             for k in range(low, high):
                 out.append(None if null[k] else raw[ends[cuts[k]] - base : ends[cuts[k + 1]] - base].decode("utf-8", "replace"))
             low = high
         return pa.array(out, pa.string())
 
 
-def _lists(counts: np.ndarray, values: np.ndarray, like: pa.Array) -> pa.Array:
-    ends = np.cumsum(counts)
-    offsets = pa.array(np.append(0, ends).astype(np.int32), mask=np.append(like.is_null().to_numpy(zero_copy_only=False), False))
-    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))
-
-
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     with open(path, "rb") as lines:
@@ -218,6 +234,16 @@ def encoded(text: Column, path: str) -> Column:
     return encode(text.cast("string"))
 
 
+def encoded_exact(text: Column, path: str) -> Column:
+    """struct<tokens: array<int>, exact: boolean>: the tokens, and whether they decode to the text."""
+
+    @F.arrow_udf("struct<tokens:array<int>,exact:boolean>")
+    def encode(x: pa.Array) -> pa.Array:
+        return vocabulary(path).encode_exact(x)
+
+    return encode(text.cast("string"))
+
+
 def decoded(ids: Column, path: str) -> Column:
     """The text of some tokens."""
 

@@ -35,8 +35,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
     """Each document's tokens, and whether decoding them gives its text."""
-    tokens = _table(spark, sf_dir, "documents").select("doc_id", "text", bpe.encoded(F.col("text"), path).alias("tokens"))
-    return tokens.select("doc_id", "tokens", F.size("tokens").alias("n_tokens"), (bpe.decoded(F.col("tokens"), path) == F.col("text")).alias("exact"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", bpe.encoded_exact(F.col("text"), path).alias("e"))
+    return docs.select("doc_id", "e.tokens", F.size("e.tokens").alias("n_tokens"), "e.exact")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ def agree(library, texts):
     for text, got in zip(texts, ids.to_pylist()):
         assert got == (None if text is None else library.encode_ordinary(text)), repr(text)
     assert v.decode(ids).to_pylist() == texts
+    both = v.encode_exact(pa.array(texts, pa.string()))
+    assert both.field("tokens").to_pylist() == ids.to_pylist() and both.field("exact").to_pylist() == [None if t is None else True for t in texts]
 
 
 CASES = [
