@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language, mixing, quality, repeats, sharding, simhash
+from . import bpe, jaccard, language, mixing, quality, quotes, repeats, sharding, simhash
 
 #: A public vocabulary of 50,256 byte-level ranks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -23,6 +23,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.substring_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(_table(spark, sf_dir, "conversations"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     targets = {"quality 1, toxic 0": 0.9, "quality 0, toxic 0": 0.08, "quality 1, toxic 1": 0.02}
@@ -61,7 +65,8 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op4_language_id, op5_bpe, op6_sharding, op7_ngram_jaccard_join, op8_quality_rules, op9_simhash, op10_suffix_array_dedup)}
+    all_of = (op1_substring_dedup, op2_quotation_linking, op3_mixing, op4_language_id, op5_bpe, op6_sharding, op7_ngram_jaccard_join, op8_quality_rules, op9_simhash, op10_suffix_array_dedup)
+    return {f.__name__: f for f in all_of}
 
 
 def oracle_sql() -> dict[str, str]:
