@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sampleflow.llm import bpe, jaccard, mixing, quality, repeats
 from sampleflow.llm.queries import VOCABULARY
-from sampleflow.llm.spread import table
+from sampleflow.llm.spread import bounded_batches, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -45,6 +45,7 @@ def language_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of each document."""
+    bounded_batches(spark)
     out = docs.select("doc_id", "lang", "source", bpe.encoded_exact(F.col("text"), VOCABULARY).alias("e"))
     return out.select("doc_id", "lang", "source", "e.tokens", F.size("e.tokens").alias("n_tokens"), "e.exact")
 

@@ -8,6 +8,7 @@ Null text has no words. Texts are taken whole: a chunk closes once it holds
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,14 @@ _WORD_BASE = 0xD1342543DE82EF95 | 5
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on, and its next task may need less."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64 bits."""
     x = x ^ (x >> np.uint64(30))
@@ -130,3 +139,4 @@ def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterat
         high = min(high, len(texts))
         yield Chunk(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], range(low, high))
         low = high
+    release()

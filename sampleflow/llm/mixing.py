@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .spread import table
+from .spread import bounded_batches, table
 
 _BITS = 15
 _SIZE = 2 * (1 << _BITS) + 2
@@ -105,6 +105,7 @@ def regression(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 1.0, steps:
 
 
 def train(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quality", "toxic"), max_rows: int = 20_000) -> Classifier | None:
+    bounded_batches(docs.sparkSession)
     name = F.concat_ws(", ", *(F.concat(F.lit(c + " "), F.col(c).cast("string")) for c in columns))
     own = labels.where(" and ".join(f"{c} is not null" for c in ("doc_id", *columns))).groupBy(F.col("doc_id").cast("bigint").alias("label_id")).agg(F.min(name).alias("domain"))
     own = own.withColumn("h", F.xxhash64("label_id")).orderBy("h", "label_id").limit(max_rows)
@@ -172,6 +173,7 @@ def fit(docs: DataFrame, classifier: Classifier | None, targets: Mapping[str, fl
         raise ValueError("targets must be nonnegative, and not all 0")
     if classifier is None:
         return Fit(None, 1.0, [], np.zeros(0), np.zeros(0))
+    bounded_batches(docs.sparkSession)
     k = len(classifier.domains)
     want = np.array([targets.get(d, 0.0) for d in classifier.domains])
     if want.sum() <= 0:

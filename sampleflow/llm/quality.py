@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .spread import bounded_batches
 
 #: Name, and the direction in which it may only move the odds of rejection (0: any).
 STATISTICS = {
@@ -212,10 +213,10 @@ class Rules:
         return np.concatenate(junk), np.concatenate(toxic)
 
 
-
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_docs: int = 6, purity: float = 0.9) -> Rules:
     """max_rows bounds the labelled documents that are read. A word beginning marks toxic text if in at
     least least_docs documents of the first half, of which the share ``purity`` is toxic."""
+    bounded_batches(docs.sparkSession)
     own = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("label_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     own = own.where("quality is not null or toxic is not null").withColumn("half", F.xxhash64("label_id"))
     own = own.orderBy("half", "label_id").limit(max_rows)
@@ -260,7 +261,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_docs
 
 
 def scored(docs: DataFrame, rules: Rules) -> DataFrame:
-    """``docs`` with _junk and _toxic, the odds of each as probabilities."""
+    """``docs`` with _score, the probabilities of junk and toxic."""
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<junk:double,toxic:double>")
     def score(text: pa.Array) -> pa.Array:

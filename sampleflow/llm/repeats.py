@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .spread import Gather, Ragged, Table, exchange, partitions, per_task, schema, table, unpacked
+from .spread import Gather, Ragged, Table, bounded_batches, exchange, partitions, per_task, schema, table, unpacked
 
 SPANS = "array<struct<begin:int,end:int>>"
 _SPAN = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -62,6 +62,7 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _identified(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
 
 
@@ -375,6 +376,8 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the ``removed`` spans cut from their text; a document of which no word is left goes.
     Other rows and columns stay as they are, but n_chars follows the text where there is one."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.arrow_udf("string")
     def cut(text: pa.Array, removed: pa.Array) -> pa.Array:
         return without_spans(text, removed)

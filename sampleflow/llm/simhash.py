@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .spread import Gather, exchange, partitions, per_task, schema
+from .spread import Gather, bounded_batches, exchange, partitions, per_task, schema
 
 
 def fingerprints(c: flat.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -126,4 +126,5 @@ def close_pairs(prints: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def close_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return close_pairs(docs.select("doc_id", simhash(F.col("text")).alias("fingerprint")), radius)

@@ -17,8 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import flat
+
 #: Records gathered before they are split over the buckets.
-GATHER = 1 << 21
+GATHER = 1 << 20
+#: Bytes of the batches in which texts go to Python.
+BATCH_BYTES = 4 << 20
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -36,6 +40,13 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the texts that a task holds at once, in the JVM and in Python, unless the session has set its own bound."""
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+    if spark.conf.get(name).rstrip("b") == str(default):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -129,6 +140,7 @@ def per_task(df: DataFrame, f: Callable, kinds: dict[str, type], out: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(unpacked(batches, kinds))
+        flat.release()
 
     return df.mapInArrow(run, out)
 
