@@ -99,7 +99,7 @@ def plain(value: Any, kind: T.DataType) -> Any:
 
 
 def record_batch(rows: list[Row], schema: T.StructType) -> pa.RecordBatch:
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    arrow = to_arrow_schema(schema)
     columns = [pa.array([plain(r.get(f.name), f.dataType) for r in rows], type=arrow.field(f.name).type) for f in schema]
     return pa.RecordBatch.from_arrays(columns, schema=arrow)
 

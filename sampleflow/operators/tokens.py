@@ -56,7 +56,7 @@ def concat_chunk(df: DataFrame, length: int, columns: Sequence[str] = ("input_id
     size = (F.least((F.col("__chunk") + 1) * length, F.col("__s") + F.col("__n")) - F.greatest(F.col("__chunk") * length, F.col("__s"))).cast("int")
     pieces = pieces.select(POS, "__chunk", *(F.slice(c, begin + 1, size).alias(c) for c in columns))
     joined = pieces.groupBy("__chunk").agg(F.array_sort(F.collect_list(F.struct(POS, *columns))).alias("__p"))
-    out = joined.select(F.col("__chunk").alias(POS), *(F.flatten(F.transform("__p", lambda x, c=c: x[c])).alias(c) for c in columns))
+    out = joined.select(F.col("__chunk").alias(POS), *(F.flatten(F.col("__p").getField(c)).alias(c) for c in columns))
     return out.where(F.size(columns[0]) == length)
 
 
@@ -94,7 +94,7 @@ def pack_chunk(df: DataFrame, length: int, columns: Sequence[str] = ("input_ids"
 
     where = ordered_scan(rows.select(POS, "__n"), plan, f"{POS} bigint, __pack bigint")
     joined = rows.join(where, POS).groupBy("__pack").agg(F.array_sort(F.collect_list(F.struct(POS, *columns))).alias("__p"))
-    packed = joined.select("__pack", *(F.slice(F.flatten(F.transform("__p", lambda x, c=c: x[c])), 1, length).alias(c) for c in columns))
+    packed = joined.select("__pack", *(F.slice(F.flatten(F.col("__p").getField(c)), 1, length).alias(c) for c in columns))
     # A first row that is too long leaves pack 0 empty, and a last pack of empty rows isn't given.
     last = where.agg(F.max("__pack").alias("last"))
     numbers = last.where("last is not null").select(F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("__pack"), "last")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.rows import merged, settled, type_of
+from ..operators.rows import as_schema, merged, settled, type_of
 from ..order import POS
 from . import cbor
 
@@ -260,6 +260,10 @@ def schema_of_payloads(rows: DataFrame) -> T.StructType:
     return out
 
 
+def rows_schema(schema: str | T.StructType) -> T.StructType:
+    return as_schema(schema)
+
+
 def typed(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """The payload's columns; bytes, which travel as base64 text, are bytes again in top-level columns."""
     text = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.BinaryType) else f.dataType) for f in schema])
