@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
@@ -122,16 +122,22 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, size int, a bigint, b bigint, grams binary")
 
 
-def links(reps: DataFrame, threshold: float) -> DataFrame:
+def _prefix(size: Column, threshold: float) -> Column:
+    """How many of a set's least hashes are its prefix: sets alike share one of these."""
+    return (size - F.ceil(size * threshold - 1e-9) + 1).cast("int")
+
+
+def links(prefixes: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) that connect any two sets which may be alike: they share an n-gram of their
-    prefixes (their |set| - threshold x |set| + 1 least hashes), with no gap in size between them."""
-    parts = partitions(reps.sparkSession)
+    prefixes (their |set| - threshold x |set| + 1 least hashes), with no gap in size between them.
+    prefixes: (doc_id, size, grams), the size being that of the whole set."""
+    parts = partitions(prefixes.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Gather(parts)
         for batch in batches:
             for doc, size, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                h = np.frombuffer(packed, dtype=np.uint64)[: size - int(np.ceil(size * threshold - 1e-9)) + 1]
+                h = np.frombuffer(packed, dtype=np.uint64)
                 m = flat.mix(h)  # spreads the least hashes over all buckets
                 yield from out.add(m, key=m.astype(np.uint32), doc=np.full(len(h), doc, np.int64), size=np.full(len(h), size, np.uint32))
         yield from out.flush()
@@ -156,7 +162,7 @@ def links(reps: DataFrame, threshold: float) -> DataFrame:
         at = np.flatnonzero(label != np.arange(len(ids)))
         yield pa.RecordBatch.from_pydict({"a": ids[at], "b": ids[label[at]]})
 
-    sent = exchange(reps.select("doc_id", "size", "grams").mapInArrow(send, schema("key", "doc", "size")), parts)
+    sent = exchange(prefixes.select("doc_id", "size", "grams").mapInArrow(send, schema("key", "doc", "size")), parts)
     return per_task(sent, link, {"key": np.uint32, "doc": np.int64, "size": np.uint32}, "a bigint, b bigint")
 
 
@@ -226,15 +232,16 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.6, n: int = 3) -> DataFr
     spark = docs.sparkSession
     parts = partitions(spark)
     have = _identified(docs).join(candidates(docs, n, threshold), "doc_id", "left_semi")
-    whole = table(sets(have, n))
+    # Rows are numbered once, as they are written, so that the sets themselves needn't be grouped.
+    whole = table(sets(have, n).withColumn("row", F.monotonically_increasing_id()))
     key = ["size", "a", "b"]
-    keyed = whole.df.groupBy("doc_id").agg(F.max(F.struct(*key)).alias("k")).select("doc_id", "k.*")
+    keyed = whole.df.groupBy("doc_id").agg(F.max(F.struct(*key, "row")).alias("k")).select("doc_id", "k.*")
     least = keyed.groupBy(*key).agg(F.min("doc_id").alias("least"))
     member = table(keyed.join(least, key))
-    leaders = member.df.where("doc_id = least").select("doc_id", *key)
-    reps = whole.df.join(leaders, ["doc_id", *key], "left_semi").select("doc_id", "size", "grams").dropDuplicates(["doc_id"])
-    roots = components(links(reps, threshold))
-    sized = table(leaders.join(roots, F.col("doc_id") == F.col("node")).select("doc_id", "size", "root"))
+    leaders = member.df.where("doc_id = least").select("doc_id", "size", "row")
+    prefixes = whole.df.select("row", "doc_id", "size", F.substring("grams", F.lit(1), 8 * _prefix(F.col("size"), threshold)).alias("grams"))
+    roots = components(links(prefixes.join(leaders.select("row"), "row", "left_semi"), threshold))
+    sized = table(leaders.join(roots, F.col("doc_id") == F.col("node")).select("row", "doc_id", "size", "root"))
     blocks = _blocks(sized.df, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,23 +264,23 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.6, n: int = 3) -> DataFr
                 packed.append(p)
         yield from result()
 
-    tasks = reps.join(blocks, "doc_id").select("root", "i", "j", "doc_id", "block", "grams").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "doc_id")
+    tasks = whole.df.select("row", "doc_id", "grams").join(blocks, "row").select("root", "i", "j", "doc_id", "block", "grams").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "doc_id")
     alike = tasks.mapInArrow(run, "doc_a bigint, doc_b bigint, jaccard double")
     equal = member.df.where("doc_id <> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return alike.unionByName(equal)
 
 
 def _blocks(sized: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, root, i, j, block): the tasks of each set. A component's sets, by size, are cut
+    """(row, root, i, j, block): the tasks of each set. A component's sets, by size, are cut
     into blocks; a task joins block i with a block j >= i that has sets of a fitting size."""
     by = "partition by root order by size, doc_id rows between unbounded preceding and current row"
-    cut = sized.selectExpr("doc_id", "root", "size", f"greatest(sum(size * 8L) over ({by}) div {BLOCK_BYTES}, count(*) over ({by}) div {BLOCK_SETS}) as block")
+    cut = sized.selectExpr("row", "root", "size", f"greatest(sum(size * 8L) over ({by}) div {BLOCK_BYTES}, count(*) over ({by}) div {BLOCK_SETS}) as block")
     # At most one of the two has moved on between neighbours, so blocks stay within both bounds but for one set.
     bounds = cut.groupBy("root", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     pairs = bounds.alias("x").join(bounds.alias("y"), "root").where(f"x.block <= y.block and x.most >= y.least * {threshold!r} - 1e-9")
     pairs = pairs.select("root", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     tasks = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    return cut.join(tasks, ["root", "block"]).select("doc_id", "root", "i", "j", "block")
+    return cut.join(tasks, ["root", "block"]).select("row", "root", "i", "j", "block")
 
 
 def first_of_each_group(docs: DataFrame, pairs: DataFrame) -> DataFrame:
