@@ -100,7 +100,7 @@ def build(rows: DataFrame, target_bytes: float) -> Tree:
             np.minimum.at(low, which, x)
             np.maximum.at(high, which, x)
             keep = np.isin(nodes, list(active))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(np.bincount(which, weights=w, minlength=len(nodes))[keep]), *(pa.array(a[keep, k]) for k in range(d) for a in (low, high))], names=["node", "bytes", *(f"{s}_{k}" for k in range(d) for s in ("low", "high"))])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(np.bincount(which, weights=w, minlength=len(nodes))[keep].astype(np.float64)), *(pa.array(a[keep, k]) for k in range(d) for a in (low, high))], names=["node", "bytes", *(f"{s}_{k}" for k in range(d) for s in ("low", "high"))])
 
     def weights(chosen: dict[int, tuple[int, float, float]]):
         """(node, range, value, bytes): sums over ranges of the chosen dimensions, or over values where the
@@ -120,7 +120,7 @@ def build(rows: DataFrame, target_bytes: float) -> Tree:
                 keys, which = np.unique(at * RANGES + slot, return_inverse=True)
                 top = np.full(len(keys), -np.inf)
                 np.maximum.at(top, which, v)
-                yield pa.RecordBatch.from_pydict({"node": nodes[keys // RANGES], "slot": keys % RANGES, "top": top, "bytes": np.bincount(which, weights=w, minlength=len(keys)), "n": np.bincount(which, minlength=len(keys)).astype(np.float64)})
+                yield pa.RecordBatch.from_pydict({"node": nodes[keys // RANGES], "slot": keys % RANGES, "top": top, "bytes": np.bincount(which, weights=w, minlength=len(keys)).astype(np.float64), "n": np.bincount(which, minlength=len(keys)).astype(np.float64)})
 
         return run
 
