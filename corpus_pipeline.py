@@ -58,7 +58,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("bpe", tokens),
 ]
 
-#: SQL can't express the trained stages; tests/llm/test_pipeline.py holds the stages against brute force.
+#: SQL can't express the trained stages; the operators' own tests hold them against brute force.
 ORACLE_SQL = None
 
 
