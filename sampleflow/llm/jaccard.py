@@ -13,6 +13,10 @@
    size. The overlaps of a set with all others are counted from its lists or, where
    a set much like it has been counted before, derived: from that set's overlaps, less
    the lists of the n-grams that it lacks, plus those of the ones it has besides.
+5. ``all_pairs`` gives each pair of sets back to all the documents that have them, and
+   pairs the documents of one set with each other. ``similar_pairs`` leaves this out:
+   it has the pairs of leaders, and of leaders with their copies, which connect the same
+   documents.
 
 Every pair with Jaccard similarity >= threshold is found (up to equal 64-bit hashes).
 
@@ -221,12 +225,28 @@ def join_sets(docs: np.ndarray, parts: list[np.ndarray], sides: np.ndarray, thre
             yield np.full(len(z), docs[x]), docs[z + begin], similar[z]
 
 
+def all_pairs(docs: DataFrame, threshold: float = 0.6, n: int = 3) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b, of every two documents with alike sets of word n-grams."""
+    alike, member = _alike(docs, threshold, n)
+    a, b = (member.select(F.col("least").alias(f"doc_{k}"), F.col("doc_id").alias(k)) for k in "ab")
+    across = alike.join(a, "doc_a").join(b, "doc_b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
+    equal = member.alias("x").join(member.alias("y"), "least").where("x.doc_id < y.doc_id")
+    return across.unionByName(equal.select(F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")))
+
+
 def similar_pairs(docs: DataFrame, threshold: float = 0.6, n: int = 3) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b, of all documents with alike sets of word n-grams.
+    """Of ``all_pairs`` those that connect the same documents.
 
     Documents with equal sets are one set: the least doc_id is paired with each of
     the others, at 1.0, and it alone is paired with the other sets alike.
     """
+    alike, member = _alike(docs, threshold, n)
+    equal = member.where("doc_id <> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return alike.unionByName(equal)
+
+
+def _alike(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_a, doc_b, jaccard) of distinct sets, by their leaders; (doc_id, least) of each document and the leader of its set."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("the threshold must be over 0 and at most 1, n at least 1")
     spark = docs.sparkSession
@@ -266,8 +286,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.6, n: int = 3) -> DataFr
 
     tasks = whole.df.select("row", "doc_id", "grams").join(blocks, "row").select("root", "i", "j", "doc_id", "block", "grams").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "doc_id")
     alike = tasks.mapInArrow(run, "doc_a bigint, doc_b bigint, jaccard double")
-    equal = member.df.where("doc_id <> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return alike.unionByName(equal)
+    return alike, member.df.select("doc_id", "least")
 
 
 def _blocks(sized: DataFrame, threshold: float) -> DataFrame:

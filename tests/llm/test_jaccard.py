@@ -6,7 +6,8 @@ import pytest
 
 from sampleflow.llm import jaccard
 from sampleflow.llm.graph import components
-from sampleflow.llm.jaccard import first_of_each_group, join_sets, similar_pairs
+from sampleflow.llm.jaccard import all_pairs, first_of_each_group, join_sets, similar_pairs
+from sampleflow.llm.queries import op7_ngram_jaccard_join
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -52,6 +53,25 @@ def test_pairs_are_those_of_brute_force(spark, monkeypatch, threshold, n, block)
     assert {(a, b): j for a, b, j in got} == brute(texts, threshold, n)
 
 
+@pytest.mark.parametrize("threshold,n", [(0.6, 3), (0.8, 1), (1.0, 2)])
+def test_all_pairs_are_those_of_every_two_documents(spark, threshold, n):
+    texts = corpus(n)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    sets = {i: s for i, t in texts.items() if (s := gram_set(t, n))}
+    want = {(a, b): j for a, b in combinations(sorted(sets), 2) if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= threshold}
+    got = [((x.doc_a, x.doc_b), x.jaccard) for x in all_pairs(docs, threshold, n).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == want
+    assert len(want) > len(brute(texts, threshold, n))
+
+
+def test_the_query_pairs_copies_with_each_other(spark, tmp_path):
+    base = " ".join(f"x{i}" for i in range(50))
+    rows = [(i, t, None, None, None) for i, t in enumerate([base, base, base, base + " y", base + " y", "something else here"])]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x.doc_a, x.doc_b) for x in op7_ngram_jaccard_join(spark, str(tmp_path)).collect())
+    assert got == list(combinations(range(5), 2))
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_derived_overlaps_are_exact(seed):
     rng = np.random.default_rng(seed)
