@@ -59,7 +59,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.close_documents(_table(spark, sf_dir, "documents"))
+    return simhash.all_close_documents(_table(spark, sf_dir, "documents"))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

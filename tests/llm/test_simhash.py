@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 
 from sampleflow.llm import flat
-from sampleflow.llm.simhash import close_documents, close_pairs, fingerprints, tables
+from sampleflow.llm.queries import op9_simhash
+from sampleflow.llm.simhash import all_close_pairs, close_documents, close_pairs, fingerprints, tables
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -73,3 +74,34 @@ def test_documents_and_defined_cases(spark):
     assert close_documents(docs.where("doc_id < 0")).collect() == []
     with pytest.raises(ValueError):
         tables(30)
+
+
+@pytest.mark.parametrize("radius", [0, 3, 8])
+def test_all_pairs_are_those_of_every_two_documents(spark, radius):
+    r = random.Random(radius)
+    prints, ends = {}, []
+    for i in r.sample(range(1000), 300):
+        p = r.choice(ends) if ends and r.random() < 0.8 else r.getrandbits(64)
+        for _ in range(r.choice([0, 0, r.randrange(radius + 3)])):
+            p ^= 1 << r.randrange(64)
+        ends.append(p)
+        prints[i] = p - (1 << 64) if p >> 63 else p
+    rows = list(prints.items()) + [next(iter(prints.items())), (None, 5), (7000, None)]
+    want = {(a, b, prints[a], prints[b], n) for a, b in combinations(sorted(prints), 2) if (n := bin((prints[a] ^ prints[b]) & (1 << 64) - 1).count("1")) <= radius}
+    got = [tuple(x) for x in all_close_pairs(spark.createDataFrame(rows, "doc_id bigint, fingerprint bigint"), radius).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > len(brute(prints, radius))
+
+
+def test_the_query_finds_near_copies_of_every_copy(spark, tmp_path):
+    r = random.Random(3)
+    base = [f"w{r.randrange(400)}" for _ in range(200)]
+    far, distance = base, 0
+    while distance < 6:  # a near copy beyond 3 bits, within 8
+        far = [w if r.random() < 0.97 else f"z{r.randrange(999)}" for w in base]
+        distance = bin(by_hand(" ".join(base)) ^ by_hand(" ".join(far))).count("1")
+        distance = distance if distance <= 8 else 0
+    texts = [" ".join(x) for x in (base, base, base, far, far)]
+    spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x.doc_a, x.doc_b): x.distance for x in op9_simhash(spark, str(tmp_path)).collect()}
+    assert got == {(a, b): distance * (a < 3 <= b) for a, b in combinations(range(5), 2)}
