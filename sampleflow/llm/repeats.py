@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .spread import Gather, Ragged, Table, bounded_batches, exchange, partitions, per_task, schema, table, unpacked
+from .spread import Gather, Table, bounded_batches, bucket_of, exchange, partitions, per_task, schema, table
 
 SPANS = "array<struct<begin:int,end:int>>"
 _SPAN = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -155,59 +155,27 @@ def _mixed(doc: np.ndarray) -> np.ndarray:
     return flat.mix(doc.astype(np.int64).view(np.uint64))
 
 
-def _tails(sums: np.ndarray, at: np.ndarray, left: np.ndarray, chosen: np.ndarray, min_words: int) -> Ragged:
-    """For the chosen positions the hashes of windows of 2, 4, 8 ... times min_words, as far as the text goes."""
-    counts = np.zeros(len(at), dtype=np.uint8)
-    whose, keys = [], []
-    length = min_words * 2
-    while len(chosen := chosen[left[chosen] >= length]):
-        whose.append(chosen)
-        keys.append(flat.window_at(sums, at[chosen], length))
-        counts[chosen] += 1
-        length *= 2
-    if not keys:
-        return Ragged(counts, np.zeros(0, dtype=np.uint64))
-    return Ragged(counts, np.concatenate(keys)[np.argsort(np.concatenate(whose), kind="stable")])
-
-
-def _longer(r: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray | Ragged]:
-    """The records at ``at`` that have a longer window, with its hash as their key."""
-    tail = Ragged(r["tail_n"], r["tail"])
-    at = at[tail.counts[at] > 0]
-    part = tail.take(at)
-    begin = np.cumsum(part.counts, dtype=np.int64) - part.counts
-    rest = np.ones(len(part.values), dtype=bool)
-    rest[begin] = False
-    return {"key": part.values[begin], "doc": r["doc"][at], "pos": r["pos"][at], "tail": Ragged(part.counts - np.uint8(1), part.values[rest])}
-
-
-_FOUND = f"doc_id bigint, repeated {SPANS}, removed {SPANS}, level int, {schema('key', 'doc', 'pos', 'later', 'tail_n', 'tail')}"
-_PACKED = {"key": np.uint64, "later": np.uint8, "tail_n": np.uint8, "tail": np.uint64} | _PLACE
+_FOUND = f"doc_id bigint, repeated {SPANS}, removed {SPANS}, level int, {schema('key', 'doc', 'pos', 'text')}"
+_WINDOW = _PLACE | {"text": np.uint32}
 
 
 def _found(**columns: pa.Array) -> pa.RecordBatch:
     types = {"doc_id": pa.int64(), "repeated": pa.list_(_SPAN.value_type), "removed": pa.list_(_SPAN.value_type), "level": pa.int32(), "bucket": pa.int32()}
-    types |= dict.fromkeys(("key", "doc", "pos", "later", "tail_n", "tail"), pa.binary())
+    types |= dict.fromkeys(("key", "doc", "pos", "text"), pa.binary())
     size = len(next(iter(columns.values())))
     return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(size, t)) for k, t in types.items()], names=list(types))
 
 
-def _packed(n: int, fields: dict[str, np.ndarray | Ragged], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    out = Gather(n, limit=1 << 62)
-    list(out.add(keys, **fields))
-    for batch in out.flush():
-        yield _found(**dict(zip(batch.schema.names, batch.columns)))
-
-
 def substring_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Level-wise doubling: (doc_id, repeated, removed, longest) of each document with a repeated passage.
 
     The levels are windows of half of min_words (the anchors), of min_words (all
     that hold a repeated anchor; these decide the spans), then of twice the length
-    from those repeated anchors that are left, until none is. ``repeated`` are the
-    word spans covered by windows of min_words that occur at another place,
-    ``removed`` those covered by windows that occur at an earlier one. ``longest`` is
-    the greatest level at which a window of the document was repeated.
+    from all positions whose window, and the one that follows it, are repeated, until
+    none is. ``repeated`` are the word spans covered by windows of min_words that
+    occur at another place, ``removed`` those covered by windows that occur at an
+    earlier one. ``longest`` is the greatest level at which a window of the document
+    was repeated.
     """
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
@@ -220,61 +188,66 @@ def substring_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
             ids = _ids(batch)
             for c in flat.chunks(batch.column(1)):
                 sums = flat.word_sums(c.words())
-                at, anchor = _near(c, batch.column(2), base, min_words)
+                at, _ = _near(c, batch.column(2), base, min_words)
                 own = np.searchsorted(c.first, at, side="right") - 1
-                chosen = np.flatnonzero(np.isin(at, anchor, assume_unique=True))
                 keys = flat.window_at(sums, at, min_words)
-                tail = _tails(sums, at, c.first[own + 1] - at, chosen, min_words)
-                yield from out.add(keys, key=keys, doc=ids[c.rows.start + own], pos=(at - c.first[own]).astype(np.int32), tail=tail)
+                # Tells texts apart that share a doc_id: a window goes on in its own text alone.
+                text = np.array([flat.window_at(sums, c.first[k : k + 1], int(m))[0] for k, m in enumerate(c.counts)], dtype=np.uint64).astype(np.uint32)
+                yield from out.add(keys, key=keys, doc=ids[c.rows.start + own], pos=(at - c.first[own]).astype(np.int32), text=text[own])
         yield from out.flush()
 
-    def flag(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def rank(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Repeated windows, with a number for what they hold, sent to their document's bucket."""
         order, many, later = repeated(r["key"], doc=r["doc"], pos=r["pos"])
         at = order[many]
-        doc = r["doc"][at]
-        yield from _packed(n, {"doc": doc, "pos": r["pos"][at], "later": later[many].astype(np.uint8)}, _mixed(doc))
-        longer = _longer(r, at)
-        yield from _packed(n, longer, longer["key"])
-
-    def settle(level: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            spans, more = [], []
-            for batch in batches:
-                keyed = batch.column(batch.schema.get_field_index("key")).is_valid()
-                more.append(batch.filter(keyed))
-                spans.append(batch.filter(keyed.__class__.from_pandas(~keyed.to_numpy(zero_copy_only=False))))
-            r = unpacked(iter(spans), _PLACE | {"later": np.uint8})
-            if len(r["doc"]):
-                yield _found(**spans_batch(r["doc"], r["pos"], r["later"], min_words))
-            r = unpacked(iter(more), {k: t for k, t in _PACKED.items() if k != "later"})
-            order, many, _ = repeated(r["key"], doc=r["doc"], pos=r["pos"])
-            at = order[many]
-            if len(at):
-                ids = np.unique(r["doc"][at])
-                yield _found(doc_id=pa.array(ids), level=pa.array(np.full(len(ids), level, dtype=np.int32)))
-            longer = _longer(r, at)
-            yield from _packed(n, longer, longer["key"])
+        key, doc = r["key"][at], r["doc"][at]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        number = bucket_of(key, n).astype(np.uint64) << np.uint64(40) | np.cumsum(new).astype(np.uint64)
+        back = np.lexsort((r["pos"][at], r["text"][at], doc))
+        out = Gather(n, limit=1 << 62)
+        list(out.add(_mixed(doc[back]), rank=number[back], doc=doc[back], pos=r["pos"][at][back], text=r["text"][at][back], later=later[many][back].astype(np.uint8)))
+        yield from out.flush()
+
+    def double(level: int):
+        def run(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if not len(r["doc"]):
+                return
+            ids = np.unique(r["doc"])
+            spans = spans_batch(r["doc"], r["pos"], r["later"], min_words) if level == min_words else {"doc_id": pa.array(ids)}
+            yield _found(**spans, level=pa.array(np.full(len(ids), level, dtype=np.int32)))
+            order = np.lexsort((r["pos"], r["text"], r["doc"]))
+            doc, pos, text, number = (r[k][order] for k in ("doc", "pos", "text", "rank"))
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+            code = (np.cumsum(new) << 32) + pos
+            there = np.searchsorted(code, code + level)
+            there[there == len(code)] = 0
+            has = np.flatnonzero(code[there] == code + level)
+            keys = flat.mix(flat.mix(number[has]) + number[there[has]])
+            out = Gather(n, limit=1 << 62)
+            list(out.add(keys, key=keys, doc=doc[has], pos=pos[has], text=text[has]))
+            for batch in out.flush():
+                yield _found(**dict(zip(batch.schema.names, batch.columns)))
 
         return run
 
-    sent = exchange(_near_rows(docs, base, min_words).mapInArrow(send, schema("key", "doc", "pos", "tail_n", "tail")), n)
-    work = per_task(sent, flag, {k: t for k, t in _PACKED.items() if k != "later"}, _FOUND)
-    level, tables = min_words * 2, []
+    sent = exchange(_near_rows(docs, base, min_words).mapInArrow(send, schema("key", "doc", "pos", "text")), n)
+    level, tables = min_words, []
     while True:
-        have: Table = table(exchange(work, n).mapInArrow(settle(level), _FOUND))
+        ranked = exchange(per_task(sent, rank, {"key": np.uint64} | _WINDOW, schema("rank", "doc", "pos", "text", "later")), n)
+        have: Table = table(per_task(ranked, double(level), {"rank": np.uint64, "later": np.uint8} | _WINDOW, _FOUND))
         tables.append(have.df)
-        work = have.df.where("bucket is not null")
+        work = have.df.where("bucket is not null").select("bucket", "key", "doc", "pos", "text")
         if work.isEmpty():
             break
+        sent = exchange(work, n)
         level *= 2
     spans = tables[0].where("repeated is not null").select("doc_id", "repeated", "removed")
     levels = tables[0].where("level is not null").select("doc_id", "level")
     for t in tables[1:]:
         levels = levels.unionByName(t.where("level is not null").select("doc_id", "level"))
-    return (
-        spans.join(levels.groupBy("doc_id").agg(F.max("level").alias("level")), "doc_id", "left")
-        .select("doc_id", "repeated", "removed", F.coalesce("level", F.lit(min_words)).alias("longest"))
-    )
+    return spans.join(levels.groupBy("doc_id").agg(F.max("level").alias("longest")), "doc_id")
 
 
 def suffix_repeats(docs: DataFrame, threshold: int = 50, base: int | None = None) -> DataFrame:

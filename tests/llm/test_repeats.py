@@ -74,6 +74,45 @@ def test_longest_level_of_a_copy(spark):
     assert longest[1] == longest[2] == 1600
 
 
+def longest_by_hand(texts, width):
+    """doc_id -> greatest level at which a window of the document is repeated."""
+    out, level = {}, width
+    while more := brute(texts, level):
+        out |= dict.fromkeys(more, level)
+        level *= 2
+    return out
+
+
+@pytest.mark.parametrize("width", [2, 7, 12])
+def test_longest_is_that_of_brute_force(spark, width):
+    texts = corpus(width + 100)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    want = longest_by_hand(texts, width)
+    assert {x.doc_id: x.longest for x in substring_repeats(docs, width).collect()} == want
+    assert len(set(want.values())) > 2
+
+
+def test_longest_of_passages_at_each_level(spark):
+    r = random.Random(8)
+    words = lambda n: [f"v{r.random()}" for _ in range(n)]
+    texts = {}
+    for size in (50, 51, 99, 100, 100, 100, 101, 105, 110, 199, 200, 200, 201, 399, 400, 401):
+        passage = words(size)
+        for _ in range(2):
+            texts[len(texts)] = " ".join(words(r.randrange(40)) + passage + words(r.randrange(40)))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    assert {x.doc_id: x.longest for x in substring_repeats(docs).collect()} == longest_by_hand(texts, 50)
+
+
+def test_a_window_goes_on_in_its_own_text(spark):
+    r = random.Random(9)
+    a, b, c, d = ([f"v{r.random()}" for _ in range(50)] for _ in range(4))
+    # Two texts of doc_id 1 hold a and b at places that would follow each other in one text.
+    texts = [(1, a + c), (1, d + b), (2, a + b), (3, a + b + d)]
+    docs = spark.createDataFrame([(i, " ".join(t), None, None, None) for i, t in texts], SCHEMA)
+    assert {x.doc_id: x.longest for x in substring_repeats(docs).collect()} == {1: 50, 2: 100, 3: 100}
+
+
 def test_removal_keeps_rows_and_columns(spark):
     r = random.Random(1)
     passage = " ".join(f"p{i}" for i in range(60))
