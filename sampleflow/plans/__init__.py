@@ -231,6 +231,12 @@ def pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sized(short.pad({"input_ids": PAD}, 32), "input_ids")
 
 
+@query(f"with {_TALK}, k as (select pos, ids, unnest(range((len(ids) + 31) // 32)) as k from c) select row_number() over (order by pos, k) - 1 as pos, array_to_string(list_resize(ids[k * 32 + 1 : k * 32 + 32], 32, {PAD}), ',') as input_ids, 32::bigint as n from k")
+def pad_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole messages, in pieces of 32 of which the last is filled up."""
+    return _sized(_talk(spark, sf_dir).chunk(32, drop_remainder=False).pad({"input_ids": PAD}, 32), "input_ids")
+
+
 def _chunk_sql(last: str) -> str:
     return f"with {_TOKENS}, k as (select pos, ids, unnest(range({last})) as k from t) select row_number() over (order by pos, k) - 1 as pos, array_to_string(ids[k * 50 + 1 : k * 50 + 50], ',') as input_ids, len(ids[k * 50 + 1 : k * 50 + 50])::bigint as n from k"
 

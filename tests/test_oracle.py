@@ -29,3 +29,11 @@ def test_same_rows(spark, con, name):
     assert sorted(names) == columns
     want = sorted(tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall())
     assert got == want
+
+
+def test_padding_keeps_every_token(spark, con):
+    rows = plans.queries()["pad_whole"](spark, SF_DIR).orderBy("pos").collect()
+    got = [int(x) for r in rows for x in r["input_ids"].split(",")]
+    assert len(got) == 32 * len(rows)
+    texts = con.execute("select text from conversations order by conv_id, turn").fetchall()
+    assert [x for x in got if x != plans.PAD] == [len(w) for (t,) in texts for w in t.split()]
