@@ -5,9 +5,10 @@ of their number of marks; neighbouring lines of a level are a passage, and a lin
 only says who wrote what follows ("... wrote:") goes with it. Passages are normalised (no marks,
 lower case, white space as one space) and hashed. They are joined with the hashes of
 what messages say themselves: their whole text, their paragraphs and their lines. A
-passage is first looked up whole, then by the first of its lines that is found; in its
-own conversation, where the latest earlier message counts, then, if it has ``least``
-characters, in all conversations, where the first by (conv_id, turn) counts.
+passage is first looked up whole, then by the first of its lines that is found, then by
+the first of its paragraphs; in its own conversation, where the latest earlier message
+counts, then, if it has ``least`` characters, in all others, where the first by
+(conv_id, turn) counts.
 
 A message replies to the message quoted by the last of its passages of the least
 level that is linked within the conversation, else to the message before it. A
@@ -71,6 +72,13 @@ def units(own: str) -> set[str]:
     return {n for part in (own, *_BLANK.split(own), *own.split("\n")) if (n := normal(part))}
 
 
+def wanted_of(lines: list[str]) -> Iterator[tuple[int, int, str]]:
+    """(kind, rank, normalised text) of all that a passage is looked up by."""
+    whole = "\n".join(lines)
+    for kind, parts in enumerate(([whole], lines, _BLANK.split(whole))):
+        yield from ((kind, r, n) for r, x in enumerate(parts) if (n := normal(x)))
+
+
 def order(replies: list[int]) -> list[int]:
     """Each message, then its replies; replies[i] < i is what i replies to, or -1."""
     children: list[list[int]] = [[] for _ in replies]
@@ -89,21 +97,21 @@ _ROW = "conv_id bigint, turn bigint, role string, text string, own string"
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
-    """The messages with their own text; ``says``, hashes of its units; ``quotes``, of each passage and its lines."""
+    """The messages with their own text; ``says``, hashes of its units; ``quotes``, of each passage, its lines and its paragraphs (by ``kind`` 0, 1, 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("rank", pa.int32()), ("hash", pa.int64()), ("size", pa.int32())]))
+        kind = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("kind", pa.int32()), ("rank", pa.int32()), ("hash", pa.int64()), ("size", pa.int32())]))
         for batch in batches:
             own, says, quotes = [], [], []
             for text in batch.column(3).to_pylist():
                 mine, passages = parse(text) if text else (text, [])
                 own.append(mine)
                 says.append([hashed(u) for u in units(mine)] if mine else [])
-                quotes.append([{"passage": k, "level": level, "rank": r, "hash": hashed(n), "size": len(n)} for k, (level, lines) in enumerate(passages) for r, n in enumerate(normal(x) for x in ("\n".join(lines), *lines)) if n])
+                quotes.append([{"passage": k, "level": level, "kind": kind_of, "rank": r, "hash": hashed(n), "size": len(n)} for k, (level, lines) in enumerate(passages) for kind_of, r, n in wanted_of(lines)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.string()), pa.array(says, pa.list_(pa.int64())), pa.array(quotes, kind)], names=["conv_id", "turn", "role", "text", "own", "says", "quotes"])
 
     chosen = messages.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, _ROW + ", says array<bigint>, quotes array<struct<passage:int,level:int,rank:int,hash:bigint,size:int>>")
+    return chosen.mapInArrow(run, _ROW + ", says array<bigint>, quotes array<struct<passage:int,level:int,kind:int,rank:int,hash:bigint,size:int>>")
 
 
 _LINK = "struct<passage:int,level:int,conv_id:bigint,turn:bigint>"
@@ -118,13 +126,17 @@ def reply_ordered(messages: DataFrame, least: int = 20) -> DataFrame:
     quoted = rows.where("size(quotes) > 0").select("conv_id", turn, F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").distinct()
     said = rows.where("conv_id is not null").select("conv_id", turn, F.explode("says").alias("hash"))
     near = quoted.join(said.withColumnRenamed("turn", "there"), ["conv_id", "hash"]).where("there < turn")
-    near = near.groupBy("conv_id", "turn", "passage", "level", "rank").agg(F.max("there").alias("there")).select("*", F.col("conv_id").alias("conv"), F.lit(0).alias("far"))
+    near = near.groupBy("conv_id", "turn", "passage", "level", "kind", "rank").agg(F.max("there").alias("there")).select("*", F.col("conv_id").alias("conv"), F.lit(0).alias("far"))
     wanted = quoted.where(F.col("size") >= least).withColumnRenamed("conv_id", "from")
     first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("m"))
-    far = wanted.join(first, "hash").where("m.conv_id <> from or from is null")
-    far = far.select(F.col("from").alias("conv_id"), "turn", "passage", "level", "rank", F.col("m.turn").alias("there"), F.col("m.conv_id").alias("conv"), F.lit(1).alias("far"))
-    # of a passage: whole before lines, the own conversation before others
-    links = near.unionByName(far).groupBy("conv_id", "turn", "passage", "level").agg(F.min(F.struct((F.col("rank") > 0).cast("int"), "far", "rank", "conv", "there")).alias("m"))
+    held = wanted.join(first, "hash")
+    mine = held.where("m.conv_id = from")
+    # Where the own conversation is the first, the first of the others counts.
+    second = said.join(mine.select("hash", F.col("from").alias("own")).distinct(), "hash").where("conv_id <> own").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("m"))
+    far = held.where("m.conv_id <> from or from is null").unionByName(mine.drop("m").join(second, "hash"))
+    far = far.select(F.col("from").alias("conv_id"), "turn", "passage", "level", "kind", "rank", F.col("m.turn").alias("there"), F.col("m.conv_id").alias("conv"), F.lit(1).alias("far"))
+    # of a passage: whole before lines before paragraphs, the own conversation before others
+    links = near.unionByName(far).groupBy("conv_id", "turn", "passage", "level").agg(F.min(F.struct("kind", "far", "rank", "conv", "there")).alias("m"))
     links = links.select("conv_id", "turn", F.struct("passage", "level", F.col("m.conv").alias("conv_id"), F.col("m.there").alias("turn")).alias("l"))
     links = links.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("l")).alias("links"))
     have = rows.select("conv_id", "turn", "role", "own", F.expr("transform(quotes, q -> q.passage)").alias("own_passages"), turn.alias("at"))

@@ -96,3 +96,18 @@ def test_repeated_rows_empty_and_long(spark):
     out = {(x.position, x.turn, x.reply_position) for x in reply_ordered(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out == {(0, 0, None), (1, 0, 0), (2, 1, 1), (3, 2, 1)}
     assert reply_ordered(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rewrapped_paragraphs_and_other_conversations(spark):
+    said = "Opening words.\n\nA paragraph that was\nwrapped one way here.\n\nClosing words."
+    passage = "a passage that two conversations say"
+    rows = [
+        (1, 0, "user", said),
+        (1, 1, "assistant", "> A paragraph\n> that was wrapped one way\n> here.\n>\n> not said\nyes"),
+        (2, 0, "user", quote(passage)),  # its own conversation says so only later
+        (2, 1, "user", passage),
+        (3, 4, "user", passage),
+        (5, 2, "user", passage),
+    ]
+    got = {(x.conv_id, x.turn): [(k.conv_id, k.turn) for k in x.links] for x in reply_ordered(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, 0): [], (1, 1): [(1, 0)], (2, 0): [(3, 4)], (2, 1): [], (3, 4): [], (5, 2): []}
