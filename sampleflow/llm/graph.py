@@ -4,40 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .spread import table
+from .spread import Table, table
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of ``edges`` (a bigint, b bigint); root is the least node that it is connected with.
+def components(edges: DataFrame) -> Table:
+    """Table of (node, root) for each node of ``edges`` (a bigint, b bigint); root is the least node that it is connected with.
 
     Alternating star contraction: each round links the larger neighbours of a node, then
     itself and its smaller ones, to the least of them, and the rounds end when every node
-    has one edge, to its root. Rounds are written, so a lost executor costs one round.
-    Edges of a node with itself make it a node; null ends are left out. Ties can't occur.
+    has one edge, to its root. Rounds are written, so a lost executor costs one round. The
+    least neighbour is aggregated before it is exchanged, and joined back to the edges, so a
+    node with very many neighbours is split by the join. Edges of a node with itself make it
+    a node; null ends are left out. Ties can't occur.
     """
-    by = Window.partitionBy("a")
+
+    def with_least(pairs: DataFrame) -> DataFrame:
+        return pairs.join(pairs.groupBy("a").agg(F.min("b").alias("m")), "a")
+
     pairs = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a is not null and b is not null")
-    alone = pairs.where("a = b").select("a").distinct()
-    pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    have = table(pairs.distinct())
+    start = table(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    have = table(start.df.where("a <> b"))
     while True:
         both = have.df.unionByName(have.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least(F.min("b").over(by), "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.where("a <> b").withColumn("m", F.min("b").over(by))
+        large = with_least(both).select("a", "b", F.least("m", "a").alias("m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = with_least(large.where("a <> b").distinct())
         linked = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new = table(linked)
         before, have = have, new
         # A forest of stars: every node has one edge, and no root has one.
         many = new.df.groupBy("a").count().where("count > 1").select("a")
         deep = new.df.alias("x").join(new.df.alias("y"), F.col("x.b") == F.col("y.a"), "left_semi").select("x.a")
-        bad = many.unionByName(deep)
-        done = bad.isEmpty()
+        done = many.unionByName(deep).isEmpty()
         before.drop()
         if done:
             break
+    nodes = start.df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     stars = have.df.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = have.df.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    rest = alone.join(stars.unionByName(roots), F.col("a") == F.col("node"), "left_anti").select(F.col("a").alias("node"), F.col("a").alias("root"))
-    return stars.unionByName(roots).unionByName(rest)
+    out = table(nodes.join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    have.drop()
+    start.drop()
+    return out

@@ -1,28 +1,34 @@
-"""N-gram Jaccard join: all pairs of documents whose sets of word n-grams are alike.
-
-1. Each document's set of hashed n-grams is exchanged by hash range; a document
-   fewer than threshold x |set| of whose n-grams occur in another document has no
-   partner and goes. This is exact, and removes what only shares some passages.
-2. Equal sets become one, that of the least doc_id.
-3. Sets that share an n-gram of their prefixes, and may by their sizes be alike, are
-   brought together: the components of that graph are joined apart from each other.
-   A component too large for one task is cut into blocks by size, and each pair of
-   blocks that may hold partners is a task.
+"""N-gram Jaccard join: documents whose sets of word n-grams are alike.
+
+1. Each text's set of hashed n-grams is exchanged by ranges of the hash, where an
+   n-gram's documents are counted; the n-grams that occur in other texts too go on, with
+   how common they are, to their document. A document fewer than threshold x |set| of
+   whose n-grams occur elsewhere has no partner and goes. This is exact, and removes
+   what only shares some passages. An n-gram of more than 1 in ``HOT_SHARE`` of the texts that
+   a task holds at once goes from there to its documents, as one of the commonest, so that
+   no task gets all the documents of such an n-gram.
+2. Documents with equal sets are one node.
+3. A node's prefix are its |set| - threshold x |set| + 1 rarest n-grams (fewest documents
+   first, then by hash); alike sets share one. Nodes that share one, and may by their
+   sizes be alike, are brought together: the components of that graph are joined apart from
+   each other. A component too large for one task is cut into blocks by size, and each pair
+   of blocks that may hold partners is a task.
 4. A task sorts its sets by size and indexes their n-grams; each n-gram's list is in
    that order, so a set skips to the block of each list that holds sets of a fitting
    size. The overlaps of a set with all others are counted from its lists or, where
    a set much like it has been counted before, derived: from that set's overlaps, less
    the lists of the n-grams that it lacks, plus those of the ones it has besides.
-5. ``all_pairs`` gives each pair of sets back to all the documents that have them, and
-   pairs the documents of one set with each other. ``similar_pairs`` leaves this out:
-   it has the pairs of leaders, and of leaders with their copies, which connect the same
-   documents.
+5. A task gives, of each of its nodes, with how many documents it is alike, and a
+   connection to the least node alike. The connected nodes are classes.
 
-Every pair with Jaccard similarity >= threshold is found (up to equal 64-bit hashes).
+Every two documents with Jaccard similarity >= threshold are linked (up to equal hashes:
+of n-grams, 48 bits beside the number of their range; of sets, 64 bits of two sums).
 
 Defined cases: a text of fewer words than n has one n-gram, all its words; null and
-empty texts have none and no partners. Null doc_ids are left out. Of rows that
-repeat a doc_id one counts, that with the most n-grams. Extra columns are not read.
+empty texts have none and no links; a very long text is one set. Null doc_ids are left
+out. Rows that repeat a doc_id and a set are one document; with different sets they are
+documents of their own under one doc_id. An empty table has no links. Equal similarities
+need no order, as all count. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,16 +37,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
 from .graph import components
-from .repeats import _identified, _ids, _mixed
-from .spread import Gather, exchange, partitions, per_task, schema, table
+from .repeats import _identified, _ids
+from .spread import GATHER, KINDS, bucket_of, exchange, kinds, of_kind, partitions, table, tidy
 
 #: Bytes of sets, and sets, that a task of the join takes of one block.
 BLOCK_BYTES, BLOCK_SETS = 16 << 20, 2048
+#: An n-gram is common where it is in more than 1 in HOT_SHARE of the texts at hand, and in more than HOT_LEAST.
+HOT_SHARE, HOT_LEAST = 64, 64
+
+_LOW = np.uint64((1 << 48) - 1)
+_COMMONEST = 255
+_HOME, _COMMON, _DIRECT, _SET, _SHARED = range(5)
 
 
 def grams(c: flat.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,134 +72,220 @@ def grams(c: flat.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     return own[new], h[new]
 
 
-def candidates(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """doc_id of each document enough of whose n-grams occur in another one."""
-    parts = partitions(docs.sparkSession)
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of values[cuts[i]:cuts[i + 1]]."""
+    offsets = ((cuts - cuts[0]) * values.itemsize).astype(np.int32)
+    data = np.ascontiguousarray(values[cuts[0] : cuts[-1]])
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def sets(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(row, doc_id, node, size, least, grams): each text enough of whose n-grams occur in another one.
+    grams are these n-grams, as packed numbers; ``least`` those of them in the text's prefix."""
+    parts = min(partitions(docs.sparkSession), 1 << 16)
+
+    def home(h: np.ndarray) -> np.ndarray:
+        return bucket_of(h, parts)
+
+    def numbered(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
+        return bucket.astype(np.uint64) << np.uint64(48) | low
+
+    def of_row(row: np.ndarray) -> np.ndarray:
+        return bucket_of(flat.mix(row), parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Gather(parts)
-        for batch in batches:
-            ids = _ids(batch)
-            for c in flat.chunks(batch.column(1)):
-                own, h = grams(c, n)
-                size = np.bincount(own, minlength=len(c.rows)).astype(np.uint32)
-                yield from out.add(h, key=h.astype(np.uint32), doc=ids[c.rows.start + own], size=size[own])
-        yield from out.flush()
-
-    def shared(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """How many n-grams of this task each document shares; equal low halves of hashes can only add some."""
-        order = np.lexsort((r["doc"], r["key"]))
-        key, doc, size = (r[k][order] for k in ("key", "doc", "size"))
-        same = (key[1:] == key[:-1]) & (doc[1:] != doc[:-1])
-        many = np.zeros(len(key), dtype=bool)
-        many[1:] |= same
-        many[:-1] |= same
-        order = np.argsort(doc[many], kind="stable")
-        doc, size = doc[many][order], size[many][order]
-        ids, begin, count = np.unique(doc, return_index=True, return_counts=True)
-        out = Gather(parts, limit=1 << 62)
-        list(out.add(_mixed(ids), doc=ids, count=count.astype(np.uint32), size=size[begin]))
-        yield from out.flush()
-
-    def enough(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        ids, whose = np.unique(r["doc"], return_inverse=True)
-        count = np.bincount(whose, weights=r["count"], minlength=len(ids))
-        size = np.zeros(len(ids))
-        size[whose] = r["size"]
-        keep = ids[count >= size * threshold - 1e-9]
-        if len(keep):
-            yield pa.RecordBatch.from_pydict({"doc_id": keep})
-
-    sent = exchange(_identified(docs).mapInArrow(send, schema("key", "doc", "size")), parts)
-    counted = per_task(sent, shared, {"key": np.uint32, "doc": np.int64, "size": np.uint32}, schema("doc", "count", "size"))
-    return per_task(exchange(counted, parts), enough, {"doc": np.int64, "count": np.uint32, "size": np.uint32}, "doc_id bigint")
-
-
-def sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, size, a, b, grams): the n-grams as packed hashes, with two signatures of them."""
+        base, texts, held, count = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, row = (np.concatenate([x[k] for x in held]) for k in range(2))
+            order = np.argsort(h, kind="stable")
+            begin = _groups(h[order])
+            many = np.diff(np.append(begin, len(h)))
+            hot = many > max(HOT_LEAST, len(np.unique(row)) // HOT_SHARE)
+            keys = h[order[begin[hot]]]
+            yield from of_kind(_COMMON, home(keys), (keys & _LOW).astype(np.uint32), ((keys & _LOW) >> np.uint64(32)).astype(np.uint16))
+            is_hot = np.zeros(len(h), dtype=bool)
+            is_hot[order] = np.repeat(hot, many)
+            yield from of_kind(_DIRECT, of_row(row[is_hot]), numbered(home(h[is_hot]), h[is_hot] & _LOW), row[is_hot])
+            h, row = h[~is_hot], row[~is_hot]
+            low = h & _LOW
+            yield from of_kind(_HOME, home(h), low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16), row)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _ids(batch)
             for c in flat.chunks(batch.column(1)):
                 own, h = grams(c, n)
-                cuts = np.searchsorted(own, np.arange(len(c.rows) + 1))
-                some = np.flatnonzero(np.diff(cuts))
-                parts = [h[cuts[k] : cuts[k + 1]] for k in some]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": ids[c.rows.start + some],
-                        "size": pa.array([len(p) for p in parts], pa.int32()),
-                        "a": pa.array([int(p.sum(dtype=np.uint64).view(np.int64)) for p in parts], pa.int64()),
-                        "b": pa.array([int(flat.mix(p ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) for p in parts], pa.int64()),
-                        "grams": pa.array([p.tobytes() for p in parts], pa.binary()),
-                    }
-                )
-
-    return docs.mapInArrow(run, "doc_id bigint, size int, a bigint, b bigint, grams binary")
-
-
-def _prefix(size: Column, threshold: float) -> Column:
-    """How many of a set's least hashes are its prefix: sets alike share one of these."""
-    return (size - F.ceil(size * threshold - 1e-9) + 1).cast("int")
+                if not len(h):
+                    continue
+                begin = _groups(own)
+                row = base + texts + np.arange(len(begin), dtype=np.uint64)
+                texts += len(begin)
+                size = np.diff(np.append(begin, len(h)))
+                a, b = np.add.reduceat(h, begin), np.add.reduceat(flat.mix(h ^ np.uint64(0x5851F42D4C957F2D)), begin)
+                node = flat.mix(a ^ flat.mix(b + size.astype(np.uint64)))
+                yield from of_kind(_SET, of_row(row), row, ids[c.rows.start + own[begin]], node, size.astype(np.uint32))
+                held.append((h, np.repeat(row, size)))
+                count += len(h)
+                if count >= GATHER:
+                    yield from flush()
+                    held, count = [], 0
+        if held:
+            yield from flush()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """To their texts, the n-grams that other texts have too, each with the class of its count."""
+        for x in kinds(batches, {_HOME: (np.uint32, np.uint16, np.uint64), _COMMON: (np.uint32, np.uint16)}, pass_on=(_DIRECT, _SET)):
+            if isinstance(x, pa.RecordBatch):
+                yield x
+                continue
+            low, high, row, bucket = x[_HOME]
+            key = numbered(bucket, high.astype(np.uint64) << np.uint64(32) | low)
+            low, high, bucket = x.pop(_COMMON)
+            common = np.unique(numbered(bucket, high.astype(np.uint64) << np.uint64(32) | low))
+            x.clear()
+            order = np.argsort(key, kind="stable")
+            begin = _groups(key[order])
+            many = np.diff(np.append(begin, len(key)))
+            is_common = common[np.searchsorted(common, key[order[begin]]) % len(common)] == key[order[begin]] if len(common) else np.zeros(len(begin), dtype=bool)
+            of = np.where(is_common, _COMMONEST, np.minimum(_COMMONEST - 1, 8 * np.log2(np.maximum(many, 1)))).astype(np.uint8)
+            keep = np.flatnonzero(np.repeat(is_common | (many > 1), many))
+            rank = np.repeat(of, many)[keep]
+            at = order[keep]
+            back = np.argsort(row[at], kind="stable")
+            yield from of_kind(_SHARED, of_row(row[at[back]]), key[at[back]], row[at[back]], rank[back])
+        flat.release()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (x,) = kinds(batches, {_DIRECT: (np.uint64, np.uint64), _SHARED: (np.uint64, np.uint64, np.uint8), _SET: (np.uint64, np.int64, np.uint64, np.uint32)})
+        row, doc, node, size, _ = x[_SET]
+        order = np.argsort(row)
+        row, doc, node, size = row[order], doc[order], node[order], size[order].astype(np.int64)
+        key = np.concatenate([x[_DIRECT][0], x[_SHARED][0]])
+        whose = np.searchsorted(row, np.concatenate([x[_DIRECT][1], x[_SHARED][1]]))
+        rank = np.concatenate([np.full(len(x[_DIRECT][0]), _COMMONEST, np.uint8), x[_SHARED][2]])
+        x.clear()
+        have = np.bincount(whose, minlength=len(row))
+        need = np.ceil(size * threshold - 1e-9).astype(np.int64)
+        chosen = have >= np.maximum(need, 1)
+        keep = chosen[whose]
+        key, whose, rank = key[keep], whose[keep], rank[keep]
+        order = np.lexsort((key, rank, whose))
+        first, whose = key[order], whose[order]
+        cuts = np.append(0, np.cumsum(have[chosen]))
+        take = (have - need + 1)[chosen]  # the n-grams of no other text come before
+        prefix = first[np.arange(len(first)) - np.repeat(cuts[:-1], np.diff(cuts)) < np.repeat(take, np.diff(cuts))]
+        ends = np.append(0, np.cumsum(take))
+        key = first[np.lexsort((first, whose))]
+        row, doc, node, size = row[chosen], doc[chosen], node[chosen], size[chosen]
+        at = 0
+        while at < len(row):
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + (1 << 22), side="right")) - 1)
+            yield pa.RecordBatch.from_pydict({"row": row[at:to].view(np.int64), "doc_id": doc[at:to], "node": node[at:to].view(np.int64), "size": size[at:to], "least": _binary(prefix, ends[at : to + 1]), "grams": _binary(key, cuts[at : to + 1])})
+            at = to
+        flat.release()
+
+    sent = exchange(_identified(docs).mapInArrow(send, KINDS), parts)
+    counted = exchange(sent.mapInArrow(shared, KINDS), parts)
+    return counted.mapInArrow(gather, "row bigint, doc_id bigint, node bigint, size bigint, least binary, grams binary")
 
 
 def links(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) that connect any two sets which may be alike: they share an n-gram of their
-    prefixes (their |set| - threshold x |set| + 1 least hashes), with no gap in size between them.
-    prefixes: (doc_id, size, grams), the size being that of the whole set."""
+    """Edges (a, b) that connect any two nodes which may be alike: they share an n-gram of their
+    prefixes, with no gap in size between them. prefixes: (node, size, least)."""
     parts = partitions(prefixes.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Gather(parts)
+        held, count = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Of the nodes of one size that share an n-gram the first is sent, the others are linked to it here."""
+            key, node, size = (np.concatenate([x[k] for x in held]) for k in range(3))
+            order = np.lexsort((node, size, key))
+            key, node, size = key[order], node[order], size[order]
+            begin = _groups(key, size)
+            head = np.repeat(node[begin], np.diff(np.append(begin, len(key))))
+            other = np.flatnonzero(head != node)
+            a, b = node[other], head[other]
+            if len(a):
+                again = np.lexsort((b, a))
+                a, b = a[again], b[again]
+                only = _groups(a, b)
+                yield from of_kind(1, bucket_of(flat.mix(a[only]), parts), a[only], b[only])
+            m = flat.mix(key[begin])  # spreads the n-grams' ranges over all buckets
+            yield from of_kind(0, bucket_of(m, parts), m.astype(np.uint32), (m >> np.uint64(32)).astype(np.uint16), node[begin], size[begin])
+
         for batch in batches:
-            for doc, size, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for node, size, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 h = np.frombuffer(packed, dtype=np.uint64)
-                m = flat.mix(h)  # spreads the least hashes over all buckets
-                yield from out.add(m, key=m.astype(np.uint32), doc=np.full(len(h), doc, np.int64), size=np.full(len(h), size, np.uint32))
-        yield from out.flush()
-
-    def link(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((r["size"], r["key"]))
-        key, doc, size = (r[k][order] for k in ("key", "doc", "size"))
-        if not len(key):
-            return
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (size[:-1] < size[1:] * threshold - 1e-9)
-        group = np.cumsum(new) - 1
-        ids, node = np.unique(doc, return_inverse=True)
-        label = np.arange(len(ids))
-        while True:  # least label within each group, then within each document
-            least = np.minimum.reduceat(label[node], np.flatnonzero(new))
-            before = label.copy()
-            np.minimum.at(label, node, least[group])
-            label = label[label]
-            if np.array_equal(before, label):
-                break
-        at = np.flatnonzero(label != np.arange(len(ids)))
-        yield pa.RecordBatch.from_pydict({"a": ids[at], "b": ids[label[at]]})
-
-    sent = exchange(prefixes.select("doc_id", "size", "grams").mapInArrow(send, schema("key", "doc", "size")), parts)
-    return per_task(sent, link, {"key": np.uint32, "doc": np.int64, "size": np.uint32}, "a bigint, b bigint")
-
-
-def join_sets(docs: np.ndarray, parts: list[np.ndarray], sides: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (doc, doc, similarity) among distinct sets with unlike sides, or among all where the sides are the same."""
-    size = np.array([len(p) for p in parts])
+                held.append((h, np.full(len(h), node, np.int64).view(np.uint64), np.full(len(h), size, np.uint32)))
+                count += len(h)
+            if count >= GATHER:
+                yield from flush()
+                held, count = [], 0
+        if count:
+            yield from flush()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (x,) = kinds(batches, {0: (np.uint32, np.uint16, np.uint64, np.uint32), 1: (np.uint64, np.uint64)})
+        low, high, doc, size, _ = x[0]
+        if len(low):
+            key = high.astype(np.uint64) << np.uint64(32) | low
+            order = np.lexsort((size, key))
+            key, doc, size = key[order], doc[order], size[order].astype(np.float64)
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (size[:-1] < size[1:] * threshold - 1e-9)
+            node, label = _least_labels(doc, np.cumsum(new) - 1, *x[1][:2])
+        else:
+            node, label = _least_labels(doc, np.zeros(0, dtype=np.int64), *x[1][:2])
+        at = np.flatnonzero(label != node)
+        yield pa.RecordBatch.from_pydict({"a": node[at].view(np.int64), "b": label[at].view(np.int64)})
+
+    sent = exchange(prefixes.select("node", "size", "least").mapInArrow(send, KINDS), parts)
+    return sent.mapInArrow(link, "a bigint, b bigint")
+
+
+def _least_labels(member: np.ndarray, group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node, and one node for all that are connected by the groups (ascending numbers) or the edges (a, b)."""
+    group = np.concatenate([group, np.repeat(np.arange(len(a)) + (group[-1] + 1 if len(group) else 0), 2)])
+    ids, node = np.unique(np.concatenate([member, np.column_stack([a, b]).ravel()]), return_inverse=True)
+    label = np.arange(len(ids))
+    begin = _groups(group) if len(group) else group
+    while len(group):  # least label within each group, then within each node
+        least = np.minimum.reduceat(label[node], begin)
+        before = label.copy()
+        np.minimum.at(label, node, least[group])
+        label = label[label]
+        if np.array_equal(before, label):
+            break
+    return ids, ids[label]
+
+
+def join_sets(parts: list[np.ndarray], sides: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(set, sets alike that come after it in order of size, similarities) among distinct sets with unlike
+    sides, or among all where the sides are the same. sizes: where elements that no two sets share are left out."""
+    length = np.array([len(p) for p in parts])
+    size = length if sizes is None else sizes
     order = np.argsort(size, kind="stable")
-    docs, sides, size, parts = docs[order], sides[order], size[order], [parts[k] for k in order]
+    sides, size, length, parts = sides[order], size[order], length[order], [parts[k] for k in order]
     n, one = len(parts), len(np.unique(sides)) == 1
     _, token = np.unique(np.concatenate(parts), return_inverse=True)
-    code = np.sort(token * n + np.repeat(np.arange(n), size))  # the lists, one after the other, each by size
-    cuts = np.append(0, np.cumsum(size))
+    code = np.sort(token * n + np.repeat(np.arange(n), length))  # the lists, one after the other, each by size
+    cuts = np.append(0, np.cumsum(length))
     low = np.searchsorted(size, np.ceil(size * threshold - 1e-9))
     high = np.searchsorted(size, np.floor(size / threshold + 1e-9), side="right")
 
     def counted(tokens: np.ndarray, begin: int, end: int) -> np.ndarray:
         """How many of the tokens' lists hold each set of begin:end; the lists' other blocks are skipped."""
         i, j = np.searchsorted(code, tokens * n + begin), np.searchsorted(code, tokens * n + end)
-        length = j - i
-        at = np.repeat(i - np.cumsum(length) + length, length) + np.arange(length.sum())
+        span = j - i
+        at = np.repeat(i - np.cumsum(span) + span, span) + np.arange(span.sum())
         return np.bincount(code[at] % n - begin, minlength=end - begin)
 
     kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -197,21 +296,18 @@ def join_sets(docs: np.ndarray, parts: list[np.ndarray], sides: np.ndarray, thre
             continue
         own = token[cuts[x] : cuts[x + 1]]
         y = int(whose[x])
-        if y >= 0 and size[x] + size[y] - 2 * best[x] < size[x]:
+        if y >= 0 and length[x] + length[y] - 2 * best[x] < length[x]:
             like, have = kept[y]
             lacks, has = np.setdiff1d(like, own, assume_unique=True), np.setdiff1d(own, like, assume_unique=True)
-            overlap = np.empty(end - begin, dtype=np.int64)
             b, e = max(begin, int(low[y])), min(end, int(high[y]))
-            if (b, e) == (begin, end):
-                overlap = have[b - int(low[y]) : e - int(low[y])] - counted(lacks, begin, end) + counted(has, begin, end)
-            else:  # sizes that y skipped are counted
-                overlap = np.concatenate(
-                    [
-                        counted(own, begin, b) if b > begin else np.zeros(0, dtype=np.int64),
-                        have[b - int(low[y]) : e - int(low[y])] - counted(lacks, b, e) + counted(has, b, e),
-                        counted(own, e, end) if end > e else np.zeros(0, dtype=np.int64),
-                    ]
-                )
+            # sizes that y skipped are counted
+            overlap = np.concatenate(
+                [
+                    counted(own, begin, b) if b > begin else np.zeros(0, dtype=np.int64),
+                    have[b - int(low[y]) : e - int(low[y])] - counted(lacks, b, e) + counted(has, b, e),
+                    counted(own, e, end) if end > e else np.zeros(0, dtype=np.int64),
+                ]
+            )
         else:
             overlap = counted(own, begin, end)
             kept[x] = own, overlap
@@ -222,88 +318,93 @@ def join_sets(docs: np.ndarray, parts: list[np.ndarray], sides: np.ndarray, thre
         z = np.flatnonzero(similar >= threshold)
         z = z[(z + begin > x) & ((sides[z + begin] != sides[x]) | one)]
         if len(z):
-            yield np.full(len(z), docs[x]), docs[z + begin], similar[z]
+            yield int(order[x]), order[z + begin], similar[z]
 
 
-def all_pairs(docs: DataFrame, threshold: float = 0.6, n: int = 3) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b, of every two documents with alike sets of word n-grams."""
-    alike, member = _alike(docs, threshold, n)
-    a, b = (member.select(F.col("least").alias(f"doc_{k}"), F.col("doc_id").alias(k)) for k in "ab")
-    across = alike.join(a, "doc_a").join(b, "doc_b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
-    equal = member.alias("x").join(member.alias("y"), "least").where("x.doc_id < y.doc_id")
-    return across.unionByName(equal.select(F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")))
-
-
-def similar_pairs(docs: DataFrame, threshold: float = 0.6, n: int = 3) -> DataFrame:
-    """Of ``all_pairs`` those that connect the same documents.
-
-    Documents with equal sets are one set: the least doc_id is paired with each of
-    the others, at 1.0, and it alone is paired with the other sets alike.
-    """
-    alike, member = _alike(docs, threshold, n)
-    equal = member.where("doc_id <> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return alike.unionByName(equal)
-
-
-def _alike(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_a, doc_b, jaccard) of distinct sets, by their leaders; (doc_id, least) of each document and the leader of its set."""
+def near_classes(docs: DataFrame, threshold: float = 0.6, n: int = 3) -> DataFrame:
+    """(doc_id, class_id, links) of each document with a link: with how many other documents its set is
+    alike, and the least doc_id that it is connected with. All others are classes of their own."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("the threshold must be over 0 and at most 1, n at least 1")
     spark = docs.sparkSession
     parts = partitions(spark)
-    have = _identified(docs).join(candidates(docs, n, threshold), "doc_id", "left_semi")
-    # Rows are numbered once, as they are written, so that the sets themselves needn't be grouped.
-    whole = table(sets(have, n).withColumn("row", F.monotonically_increasing_id()))
-    key = ["size", "a", "b"]
-    keyed = whole.df.groupBy("doc_id").agg(F.max(F.struct(*key, "row")).alias("k")).select("doc_id", "k.*")
-    least = keyed.groupBy(*key).agg(F.min("doc_id").alias("least"))
-    member = table(keyed.join(least, key))
-    leaders = member.df.where("doc_id = least").select("doc_id", "size", "row")
-    prefixes = whole.df.select("row", "doc_id", "size", F.substring("grams", F.lit(1), 8 * _prefix(F.col("size"), threshold)).alias("grams"))
-    roots = components(links(prefixes.join(leaders.select("row"), "row", "left_semi"), threshold))
-    sized = table(leaders.join(roots, F.col("doc_id") == F.col("node")).select("row", "doc_id", "size", "root"))
-    blocks = _blocks(sized.df, threshold)
+    whole = table(sets(docs, n, threshold))
+    tidy(spark)
+    members = whole.df.select("node", "doc_id").distinct()
+    one_row = whole.df.groupBy("node").agg(F.min("row").alias("row"), F.min("size").alias("size"))
+    nodes = table(members.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("weight")).join(one_row, "node"))
+    near = components(links(whole.df, threshold))
+    blocks = _blocks(nodes.df.join(near.df, "node"), threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, side, packed = None, [], [], []
+        key, held = None, []
 
         def result() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1:
-                found = list(join_sets(np.array(ids), [np.frombuffer(p, dtype=np.uint64) for p in packed], np.array(side), threshold))
-                if found:
-                    a, b, s = (np.concatenate(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_pydict({"doc_a": np.minimum(a, b), "doc_b": np.maximum(a, b), "jaccard": s})
+            if len(held) > 1:
+                node, side, weight, size = (np.array([x[k] for x in held]) for k in range(4))
+                yield from _alike([np.frombuffer(x[4], dtype=np.uint64) for x in held], node, side, weight, size, threshold)
 
         for batch in batches:
-            for root, i, j, doc, own, p in zip(*(c.to_pylist() for c in batch.columns)):
+            for root, i, j, *own in zip(*(c.to_pylist() for c in batch.columns)):
                 if (root, i, j) != key:
                     yield from result()
-                    key, ids, side, packed = (root, i, j), [], [], []
-                ids.append(doc)
-                side.append(own)
-                packed.append(p)
+                    key, held = (root, i, j), []
+                held.append(own)
         yield from result()
-
-    tasks = whole.df.select("row", "doc_id", "grams").join(blocks, "row").select("root", "i", "j", "doc_id", "block", "grams").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "doc_id")
-    alike = tasks.mapInArrow(run, "doc_a bigint, doc_b bigint, jaccard double")
-    return alike, member.df.select("doc_id", "least")
+        flat.release()
+
+    tasks = whole.df.select("row", "grams").join(blocks, "row").select("root", "i", "j", "node", "block", "weight", "size", "grams")
+    tasks = tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    found = table(tasks.mapInArrow(run, "node bigint, links bigint, root bigint"))
+    near.drop()
+    classes = components(found.df.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    counts = found.df.groupBy("node").agg(F.sum("links").alias("links"))
+    known = nodes.df.select("node", "least", "weight").join(counts, "node", "left").join(classes.df, "node", "left")
+    known = known.select("node", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")).where("links > 0")
+    named = known.join(known.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id", "links")
+    out = table(members.join(named, "node").select("doc_id", "class_id", "links"))
+    for t in (whole, nodes, found, classes):
+        t.drop()
+    tidy(spark)
+    return out.df
+
+
+def _alike(parts: list[np.ndarray], node: np.ndarray, side: np.ndarray, weight: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """(node, links, root) of the nodes of a task that are alike with another one."""
+    count, label = np.zeros(len(node), dtype=np.int64), np.arange(len(node))
+    for x, z, _ in join_sets(parts, side, threshold, size):
+        count[x] += weight[z].sum()
+        count[z] += weight[x]
+        old = np.unique(np.append(label[z], label[x]))
+        if len(old) > 1:
+            label[np.isin(label, old)] = old[0]
+    at = np.flatnonzero(count)
+    if len(at):
+        least = node.copy()
+        np.minimum.at(least, label, node)
+        yield pa.RecordBatch.from_pydict({"node": node[at], "links": count[at], "root": least[label[at]]})
 
 
 def _blocks(sized: DataFrame, threshold: float) -> DataFrame:
-    """(row, root, i, j, block): the tasks of each set. A component's sets, by size, are cut
-    into blocks; a task joins block i with a block j >= i that has sets of a fitting size."""
-    by = "partition by root order by size, doc_id rows between unbounded preceding and current row"
-    cut = sized.selectExpr("row", "root", "size", f"greatest(sum(size * 8L) over ({by}) div {BLOCK_BYTES}, count(*) over ({by}) div {BLOCK_SETS}) as block")
-    # At most one of the two has moved on between neighbours, so blocks stay within both bounds but for one set.
-    bounds = cut.groupBy("root", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    pairs = bounds.alias("x").join(bounds.alias("y"), "root").where(f"x.block <= y.block and x.most >= y.least * {threshold!r} - 1e-9")
+    """(row, node, weight, size, root, i, j, block): the tasks of each node. A component's nodes, by size,
+    are cut into blocks; a task joins block i with a block j >= i that has sets of a fitting size. The cuts
+    come from counts of each size; the nodes of a size that fills more than a block are spread by hash."""
+    unit = f"greatest(size * 8D / {BLOCK_BYTES}, 1D / {BLOCK_SETS})"
+    by = "partition by root order by size rows between unbounded preceding and 1 preceding"
+    fills = sized.groupBy("root", "size").agg(F.sum(F.expr(unit)).alias("fill"))
+    cut = fills.selectExpr("root", "size", f"cast(coalesce(sum(fill) over ({by}), 0D) as bigint) as at", "cast(greatest(1, ceil(fill)) as bigint) as span")
+    placed = sized.join(cut, ["root", "size"]).withColumn("block", F.col("at") + F.pmod(F.xxhash64("node"), F.col("span"))).drop("at", "span")
+    bounds = placed.groupBy("root", "block").agg(F.min("size").alias("least_size"), F.max("size").alias("most_size"), F.count(F.lit(1)).alias("n"))
+    pairs = bounds.alias("x").join(bounds.alias("y"), "root").where(f"x.block <= y.block and x.most_size >= y.least_size * {threshold!r} - 1e-9 and y.most_size >= x.least_size * {threshold!r} - 1e-9 and x.n + y.n > if(x.block = y.block, 2, 1)")
     pairs = pairs.select("root", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     tasks = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    return cut.join(tasks, ["root", "block"]).select("row", "root", "i", "j", "block")
+    return placed.join(tasks, ["root", "block"]).select("row", "node", "weight", "size", "root", "i", "j", "block")
 
 
-def first_of_each_group(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``docs`` without those that are connected by ``pairs`` with a document of a lesser doc_id."""
-    roots = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-    gone = roots.where("node <> root").select(F.col("node").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def first_of_each_group(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``docs`` without those that are in the class of a lesser doc_id. Rows of one doc_id go or stay together."""
+    name = "_gone"
+    while name in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    gone = classes.where("class_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -8,6 +8,7 @@ plane by byte plane so that the shuffle's compression removes constant planes.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -130,6 +131,37 @@ def unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> dict[
     return {k: np.concatenate(v) for k, v in parts.items()}
 
 
+#: Columns of rows of several kinds: ``c0`` ... hold the fields of their kind in order.
+KINDS = "bucket int, kind int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
+
+
+def of_kind(kind: int, bucket: np.ndarray, *fields: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows in the columns of ``KINDS``."""
+    if len(bucket):
+        packed = rows(bucket, {f"c{k}": a for k, a in enumerate(fields)})
+        n = packed.num_rows
+        empty = pa.nulls(n, pa.binary())
+        columns = [packed.column(0), pa.array(np.full(n, kind, np.int32)), *(packed.column(1 + k) if k < len(fields) else empty for k in range(5))]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", *(f"c{k}" for k in range(5))])
+
+
+def kinds(batches: Iterator[pa.RecordBatch], known: dict[int, tuple[type, ...]], pass_on: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch | dict[int, list[np.ndarray]]]:
+    """The rows of the kinds in ``pass_on`` as they are; at last a dict: of each known kind its fields as
+    arrays over all rows, and the bucket of each record."""
+    parts: dict[int, list[list[np.ndarray]]] = {k: [[np.zeros(0, dtype=t)] for t in (*types, np.int32)] for k, types in known.items()}
+    for batch in batches:
+        kind = batch.column(1).to_numpy()
+        go = np.flatnonzero(np.isin(kind, pass_on))
+        if len(go):
+            yield batch.take(pa.array(go))
+        for i in np.flatnonzero(np.isin(kind, list(known))).tolist():
+            types = known[int(kind[i])]
+            fields = [unplanes(batch.column(2 + k)[i].as_py(), t) for k, t in enumerate(types)]
+            for into, a in zip(parts[int(kind[i])], (*fields, np.full(len(fields[0]), batch.column(0)[i].as_py(), np.int32))):
+                into.append(a)
+    yield {k: [np.concatenate(a) for a in fields] for k, fields in parts.items()}
+
+
 def exchange(df: DataFrame, n: int) -> DataFrame:
     """Each bucket's rows to the partition of its number."""
     return df.repartitionById(n, "bucket")
@@ -145,6 +177,13 @@ def per_task(df: DataFrame, f: Callable, kinds: dict[str, type], out: str) -> Da
     return df.mapInArrow(run, out)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of jobs that nothing refers to any more; it does so
+    when the driver's JVM collects its garbage, which it may not need to do for hours."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _OWN: dict[str, str] = {}
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from sampleflow.llm import jaccard
 from sampleflow.llm.graph import components
-from sampleflow.llm.jaccard import all_pairs, first_of_each_group, join_sets, similar_pairs
+from sampleflow.llm.jaccard import first_of_each_group, join_sets, near_classes
 from sampleflow.llm.queries import op7_ngram_jaccard_join
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -18,16 +18,30 @@ def gram_set(text, n):
 
 
 def brute(texts, threshold, n):
-    groups = {}
-    for i in sorted(texts):
-        if s := gram_set(texts[i], n):
-            groups.setdefault(s, []).append(i)
-    pairs = {(ids[0], k): 1.0 for ids in groups.values() for k in ids[1:]}
-    for (s, a), (t, b) in combinations(groups.items(), 2):
-        j = len(s & t) / len(s | t)
-        if j >= threshold:
-            pairs[min(a[0], b[0]), max(a[0], b[0])] = j
-    return pairs
+    """doc_id -> (class_id, links), by comparing every two documents."""
+    sets = {i: s for i, t in texts.items() if (s := gram_set(t, n))}
+    alike = {i: {i} for i in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold:
+            alike[a].add(b)
+            alike[b].add(a)
+    out = {}
+    for i in sorted(sets):
+        if i in out:
+            continue
+        reached, work = {i}, [i]
+        while work:
+            more = alike[work.pop()] - reached
+            reached |= more
+            work += more
+        out |= {k: (i, len(alike[k]) - 1) for k in reached}
+    return {k: v for k, v in out.items() if v[1]}
+
+
+def found(df):
+    rows = [(x.doc_id, (x.class_id, x.links)) for x in df.collect()]
+    assert len(rows) == len(dict(rows))
+    return dict(rows)
 
 
 def corpus(seed):
@@ -43,33 +57,33 @@ def corpus(seed):
     return texts | {k: "", k + 1: None, k + 2: "one", k + 3: "one", k + 4: "one two"}
 
 
-@pytest.mark.parametrize("threshold,n,block", [(0.6, 3, 2048), (0.8, 1, 3), (0.5, 2, 2), (1.0, 2, 2048)])
-def test_pairs_are_those_of_brute_force(spark, monkeypatch, threshold, n, block):
+@pytest.mark.parametrize("threshold,n,block,hot", [(0.6, 3, 2048, 64), (0.8, 1, 3, 2), (0.5, 2, 2, 0), (1.0, 2, 2048, 64), (0.7, 1, 1, 1000)])
+def test_classes_are_those_of_brute_force(spark, monkeypatch, threshold, n, block, hot):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", hot)
     texts = corpus(n)
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
-    got = [(x.doc_a, x.doc_b, x.jaccard) for x in similar_pairs(docs, threshold, n).collect()]
-    assert len({x[:2] for x in got}) == len(got)
-    assert {(a, b): j for a, b, j in got} == brute(texts, threshold, n)
-
-
-@pytest.mark.parametrize("threshold,n", [(0.6, 3), (0.8, 1), (1.0, 2)])
-def test_all_pairs_are_those_of_every_two_documents(spark, threshold, n):
-    texts = corpus(n)
-    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
-    sets = {i: s for i, t in texts.items() if (s := gram_set(t, n))}
-    want = {(a, b): j for a, b in combinations(sorted(sets), 2) if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= threshold}
-    got = [((x.doc_a, x.doc_b), x.jaccard) for x in all_pairs(docs, threshold, n).collect()]
-    assert len(got) == len(dict(got)) and dict(got) == want
-    assert len(want) > len(brute(texts, threshold, n))
+    want = brute(texts, threshold, n)
+    assert found(near_classes(docs, threshold, n)) == want
+    assert len({c for c, _ in want.values()}) > 3
 
 
-def test_the_query_pairs_copies_with_each_other(spark, tmp_path):
+def test_the_query_counts_every_copy(spark, tmp_path):
     base = " ".join(f"x{i}" for i in range(50))
     rows = [(i, t, None, None, None) for i, t in enumerate([base, base, base, base + " y", base + " y", "something else here"])]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((x.doc_a, x.doc_b) for x in op7_ngram_jaccard_join(spark, str(tmp_path)).collect())
-    assert got == list(combinations(range(5), 2))
+    assert found(op7_ngram_jaccard_join(spark, str(tmp_path))) == {i: (0, 4) for i in range(5)}
+
+
+def test_common_grams_link_only_what_may_be_alike(spark, monkeypatch):
+    """A third of each text are the same words: the rarest n-grams keep each pair a component of its own."""
+    common = [f"c{i}" for i in range(20)]
+    texts = [" ".join(common + [f"p{k}_{i}" for k in range(40)] + [f"q{copy}"] * copy) for i in range(150) for copy in range(2)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    for hot in (64, 1000):
+        monkeypatch.setattr(jaccard, "HOT_LEAST", hot)
+        near = components(jaccard.links(jaccard.sets(docs, 3, 0.6), 0.6)).df.groupBy("root").count().collect()
+        assert [x["count"] for x in near] == [2] * 150
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -85,32 +99,40 @@ def test_derived_overlaps_are_exact(seed):
     parts = list(sets.values())
     want = {(i, j) for i, j in combinations(range(len(parts)), 2) if len(np.intersect1d(parts[i], parts[j])) / len(np.union1d(parts[i], parts[j])) >= 0.6}
     for sides in (np.zeros(len(parts), int), rng.integers(0, 2, len(parts))):
-        got = [(min(a, b), max(a, b)) for x, z, _ in join_sets(np.arange(len(parts)), parts, sides, 0.6) for a, b in zip(x.tolist(), z.tolist())]
+        got = [(min(a, b), max(a, b)) for a, z, _ in join_sets(parts, sides, 0.6) for b in z.tolist()]
         assert len(set(got)) == len(got)
         assert set(got) == {(i, j) for i, j in want if len(set(sides)) == 1 or sides[i] != sides[j]}
 
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (105, 101), (7, 7), (200, 200), (None, 3), (101, 100)]
-    got = {x.node: x.root for x in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
+    got = {x.node: x.root for x in components(spark.createDataFrame(chain, "a bigint, b bigint")).df.collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 105: 100, 200: 200}
-    assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).df.collect() == []
 
 
 def test_one_of_each_group_stays(spark):
     base = " ".join(f"x{i}" for i in range(50))
     rows = [(4, base, "en", "s", 1), (2, base + " y", None, "s", 2), (2, base + " y", None, "s", 2), (9, "clean text here", "en", None, 3), (None, base, "en", "s", 4), (5, None, None, None, None)]
     docs = spark.createDataFrame([(*x, i, 0) for i, x in enumerate(rows)], SCHEMA + ", node int, root int")
-    out = first_of_each_group(docs, similar_pairs(docs))
+    out = first_of_each_group(docs, near_classes(docs))
     assert out.columns == docs.columns
     assert sorted(x.node for x in out.collect()) == [1, 2, 3, 4, 5]
 
 
 def test_empty_and_very_long(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    assert similar_pairs(empty).collect() == []
+    assert near_classes(empty).collect() == []
     long = " ".join(str(i) for i in range(150_000))
     docs = spark.createDataFrame([(1, long, None, None, None), (2, long + " x", None, None, None), (3, long[:1000], None, None, None)], SCHEMA)
-    assert [(x.doc_a, x.doc_b) for x in similar_pairs(docs).collect()] == [(1, 2)]
+    assert found(near_classes(docs)) == {1: (1, 1), 2: (1, 1)}
     with pytest.raises(ValueError):
-        similar_pairs(empty, 0)
+        near_classes(empty, 0)
+
+
+def test_rows_of_one_doc_id(spark):
+    base = " ".join(f"x{i}" for i in range(50))
+    rows = [(7, base), (7, base), (7, "quite another text of seven words"), (8, base + " y"), (9, "quite another text of seven words"), (None, base)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    got = sorted(tuple(x) for x in near_classes(docs).collect())
+    assert got == [(7, 7, 1), (7, 7, 1), (8, 7, 1), (9, 7, 1)]
