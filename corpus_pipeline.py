@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by n-gram Jaccard similarity the one of the least doc_id stays."""
-    return jaccard.first_of_each_group(docs, jaccard.similar_pairs(docs))
+    return jaccard.first_of_each_group(docs, jaccard.near_classes(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
