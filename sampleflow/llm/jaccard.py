@@ -333,7 +333,9 @@ def near_classes(docs: DataFrame, threshold: float = 0.6, n: int = 3) -> DataFra
     members = whole.df.select("node", "doc_id").distinct()
     one_row = whole.df.groupBy("node").agg(F.min("row").alias("row"), F.min("size").alias("size"))
     nodes = table(members.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("weight")).join(one_row, "node"))
+    tidy(spark)  # the last job of all is still referred to
     near = components(links(whole.df, threshold))
+    tidy(spark)
     blocks = _blocks(nodes.df.join(near.df, "node"), threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
