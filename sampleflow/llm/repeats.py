@@ -2,25 +2,32 @@
 
 Two operators find them: ``substring_repeats`` by level-wise doubling and
 ``suffix_repeats`` by distributed prefix doubling. Both begin with anchors:
-windows of ``base`` words whose hash is least among the ``min_words - base + 1``
-windows of some passage of ``min_words`` words. Which windows are anchors
-depends on those words alone, so two copies of a passage have the same anchors:
-a passage without a repeated anchor isn't repeated. About 2 in
-``min_words - base`` windows are anchors, and only those are exchanged for the
-whole corpus; every window of a document near a repeated anchor is then compared.
+windows of half of min_words whose hash is least among those of some passage of
+``min_words`` words. Which windows are anchors depends on those words alone, so two
+copies of a passage have the same anchors: a passage without a repeated anchor isn't
+repeated. About 2 in ``min_words / 2`` windows are anchors, and only those are exchanged
+for the whole corpus; what lies near a repeated anchor is then compared. Of texts with
+the same words only that of the least doc_id is; the others are repeated as a whole.
+
+Positions are compared in rounds. Each document has a bucket, which holds its positions.
+A bucket gives each different key (or pair of ranks) once, with how often it has it and
+its first place, to the ranges of the keys' hashes; there equal keys of all buckets meet
+and get one rank, which goes back to the buckets if there is another place. So a passage
+that very many documents share is one record a bucket, however many they are. Each round is
+written, and what it has read is freed.
 
 Words are those of ``flat``; passages are equal when their 64-bit hashes are.
 Occurrences are ordered by (doc_id, position); all but the first are ``removed``.
 
 Defined cases, for both: null text and texts of fewer than ``min_words`` words
-have no passages. Rows with a null doc_id have no place in the order and are left
-out. Rows that repeat a doc_id are one document (with different texts: the union of
-their spans). Extra columns are not read. An empty table gives an empty result.
+have no passages; a very long text is taken whole. Rows with a null doc_id have no place
+in the order and are left out. Rows that repeat a doc_id are one document (with different
+texts: the union of their spans). Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .spread import Gather, Table, bounded_batches, bucket_of, exchange, partitions, per_task, schema, table
+from .spread import GATHER, KINDS, Table, bounded_batches, bucket_of, exchange, kinds, of_kind, partitions, table, tidy
 
 SPANS = "array<struct<begin:int,end:int>>"
-_SPAN = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-_PLACE = {"doc": np.int64, "pos": np.int32}
+_SPAN = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -66,45 +72,103 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
 
 
-def repeated(*keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by keys and place; in that order, which records have a key that occurs at
-    two places or more, and which of these are not at its first place."""
-    order = np.lexsort((pos, doc, *reversed(keys)))
-    n = len(order)
-    new = np.ones(n, dtype=bool)
-    if n:
-        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    begin = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else np.zeros(0, dtype=np.int64)
-    d, p = doc[order], pos[order]
-    later = (d != d[begin]) | (p != p[begin])
-    group = np.cumsum(new) - 1
-    many = np.bincount(group, weights=later, minlength=1)[group] > 0 if n else later
-    return order, many, later
-
-
-def anchor_hits(docs: DataFrame, base: int, min_words: int) -> DataFrame:
-    """(doc_id, hits): the positions of the document's anchors that occur elsewhere too."""
+def _mixed(doc: np.ndarray) -> np.ndarray:
+    return flat.mix(doc.astype(np.int64).view(np.uint64))
+
+
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Which records differ from the one before."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _text_hashes(c: flat.Chunk, sums: np.ndarray) -> np.ndarray:
+    """One hash of all words of each text."""
+    first, count = c.first[:-1], c.counts
+    return flat.mix((sums[first + count] - sums[first]) * flat._powers(flat._WORD_BASE, len(sums))[1][first] + count.astype(np.uint64))
+
+
+_ANCHOR, _HIT, _TEXT, _COPY = range(4)
+
+
+def marks(docs: DataFrame, base: int, min_words: int) -> Table:
+    """(doc_id, hit, words, later): a row for each anchor (at ``hit``) of a document that occurs elsewhere too,
+    and one for each document whose ``words`` words are all those of another one; later: of a lesser doc_id."""
     n = partitions(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Gather(n)
+        held: list[tuple[np.ndarray, ...]] = []
+        texts: list[tuple[np.ndarray, ...]] = []
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """What is known here to be repeated is told at once; of each key one record says so to its bucket."""
+            key, text, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
+            order = np.lexsort((doc, pos, text, key))
+            order = order[_new(key[order], text[order], pos[order])]  # of equal texts the least doc_id
+            key, text, doc, pos = key[order], text[order], doc[order], pos[order]
+            new = _new(key)
+            many = np.repeat(np.diff(np.append(np.flatnonzero(new), len(key))) > 1, np.diff(np.append(np.flatnonzero(new), len(key))))
+            yield from of_kind(_HIT, bucket_of(_mixed(doc[many]), n), doc[many], pos[many])
+            key, text, doc, pos, many = key[new], text[new], doc[new], pos[new], many[new]
+            yield from of_kind(_ANCHOR, bucket_of(key, n), key, text, doc, pos, many.astype(np.uint8))
+            text, doc, words = (np.concatenate([x[k] for x in texts]) for k in range(3))
+            order = np.lexsort((doc, text))
+            order = order[_new(text[order], doc[order])]
+            text, doc, words = text[order], doc[order], words[order]
+            new = _new(text)
+            many = np.diff(np.append(np.flatnonzero(new), len(text))) > 1
+            yield from of_kind(_COPY, bucket_of(_mixed(doc[~new]), n), doc[~new], words[~new])
+            yield from of_kind(_TEXT, bucket_of(text[new], n), text[new], doc[new], words[new], many.astype(np.uint8))
+
         for batch in batches:
             ids = _ids(batch)
             for c in flat.chunks(batch.column(1)):
-                at, keys = anchors(c.words(), c.counts, base, min_words)
+                w = c.words()
+                at, keys = anchors(w, c.counts, base, min_words)
                 own = np.searchsorted(c.first, at, side="right") - 1
-                yield from out.add(keys, key=keys, doc=ids[c.rows.start + own], pos=(at - c.first[own]).astype(np.int32))
-        yield from out.flush()
-
-    def find(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order, many, _ = repeated(r["key"], doc=r["doc"], pos=r["pos"])
-        at = order[many]
-        if len(at):
-            yield pa.RecordBatch.from_pydict({"doc_id": r["doc"][at], "hit": r["pos"][at]})
-
-    sent = exchange(_identified(docs).mapInArrow(send, schema("key", "doc", "pos")), n)
-    hits = per_task(sent, find, {"key": np.uint64} | _PLACE, "doc_id bigint, hit int")
-    return hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
+                whole = _text_hashes(c, flat.word_sums(w))
+                held.append((keys, whole[own], ids[c.rows.start + own], (at - c.first[own]).astype(np.int32)))
+                long = np.flatnonzero(c.counts >= min_words)
+                texts.append((whole[long], ids[c.rows.start + long], c.counts[long].astype(np.int32)))
+                count += len(keys)
+            if count >= GATHER:
+                yield from flush()
+                held, texts, count = [], [], 0
+        if held:
+            yield from flush()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (x,) = kinds(batches, {_ANCHOR: (np.uint64, np.uint64, np.int64, np.int32, np.uint8), _HIT: (np.int64, np.int32), _TEXT: (np.uint64, np.int64, np.int32, np.uint8), _COPY: (np.int64, np.int32)})
+
+        def out(doc: np.ndarray, hit: np.ndarray | None = None, words: np.ndarray | None = None, later: np.ndarray | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(doc), *(pa.nulls(len(doc), pa.int32()) if a is None else pa.array(a.astype(np.int32)) for a in (hit, words, later))], names=["doc_id", "hit", "words", "later"])
+
+        key, text, doc, pos, many, _ = x[_ANCHOR]
+        order = np.lexsort((~many, doc, pos, text, key))
+        order = order[_new(key[order], text[order], pos[order])]
+        key, doc, pos, many = key[order], doc[order], pos[order], many[order]
+        begin = np.flatnonzero(_new(key))
+        if len(begin):
+            size = np.diff(np.append(begin, len(key)))
+            found = np.repeat((size > 1) | (np.maximum.reduceat(many, begin) > 0), size)
+            yield out(doc[found], pos[found])
+        yield out(*x[_HIT][:2])
+        text, doc, words, many, _ = x[_TEXT]
+        order = np.lexsort((~many, doc, text))
+        order = order[_new(text[order], doc[order])]
+        text, doc, words, many = text[order], doc[order], words[order], many[order]
+        new = _new(text)
+        begin = np.flatnonzero(new)
+        if len(begin):
+            size = np.diff(np.append(begin, len(text)))
+            found = np.repeat((size > 1) | (np.maximum.reduceat(many, begin) > 0), size)
+            yield out(doc[found], words=words[found], later=~new[found])
+        yield out(x[_COPY][0], words=x[_COPY][1], later=np.ones(len(x[_COPY][0])))
+        flat.release()
+
+    return table(exchange(_identified(docs).mapInArrow(send, KINDS), n).mapInArrow(find, "doc_id bigint, hit int, words int, later int"))
 
 
 def _near(c: flat.Chunk, hits: pa.ListArray, base: int, min_words: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -122,206 +186,279 @@ def _near(c: flat.Chunk, hits: pa.ListArray, base: int, min_words: int, least: i
     return np.flatnonzero((np.cumsum(change)[:-1] > 0) & flat.inside(c.counts, least)), np.unique(anchor)
 
 
-def _near_rows(docs: DataFrame, base: int, min_words: int) -> DataFrame:
-    return _identified(docs).join(anchor_hits(docs, base, min_words), "doc_id").select("doc_id", "text", "hits")
+#: Kinds of rows of the rounds: places before the first, keys, places with the number of their key,
+#: ranks of the keys by number, and what has been found: spans and levels.
+_PLACE, _KEY, _HELD, _RANK, _FOUND, _LEVEL = range(6)
+_PLACE_OF = (np.uint64, np.int64, np.int32, np.uint32)
+_KEY_OF = (np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.int32, np.int32)
+_HELD_OF = (np.int64, np.int32, np.uint32, np.uint32)
+_RANK_OF = (np.uint32, np.uint64, np.uint8)
 
 
-def spans_of(doc: np.ndarray, pos: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of words covered by windows at places in ascending order."""
-    if not len(doc):
-        return doc, pos, pos
-    new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + width)
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(doc)) - 1
-    return doc[begin], pos[begin], (pos[end] + width).astype(np.int32)
-
+def _places(docs: DataFrame, found: Table, base: int, min_words: int, width: int) -> Table:
+    """The positions of windows of min_words that hold a repeated anchor, each with the hash of the
+    ``width`` words that begin there, by their document's bucket."""
+    n = partitions(docs.sparkSession)
+    hits = found.df.where("hit is not null").groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
+    rows = _identified(docs).join(hits, "doc_id").select("doc_id", "text", "hits")
 
-def _listed(docs: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
-    doc, begin, end = spans
-    cuts = np.append(np.searchsorted(doc, docs), len(doc)).astype(np.int32)
-    return pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["begin", "end"]))
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _ids(batch)
+            for c in flat.chunks(batch.column(1)):
+                sums = flat.word_sums(c.words())
+                at, _ = _near(c, batch.column(2), base, min_words, least=width)
+                own = np.searchsorted(c.first, at, side="right") - 1
+                # Tells texts apart that share a doc_id: a passage goes on in its own text alone.
+                text = _text_hashes(c, sums).astype(np.uint32)
+                doc = ids[c.rows.start + own]
+                yield from of_kind(_PLACE, bucket_of(_mixed(doc), n), flat.window_at(sums, at, width), doc, (at - c.first[own]).astype(np.int32), text[own])
+        flat.release()
 
+    return table(rows.mapInArrow(send, KINDS))
 
-def spans_batch(doc: np.ndarray, pos: np.ndarray, later: np.ndarray, width: int) -> dict[str, pa.Array]:
-    """doc_id, repeated and removed spans of each document among the places."""
-    order = np.lexsort((pos, doc))
-    doc, pos, later = doc[order], pos[order], later[order].astype(bool)
-    docs = np.unique(doc)
-    return {"doc_id": pa.array(docs), "repeated": _listed(docs, spans_of(doc, pos, width)), "removed": _listed(docs, spans_of(doc[later], pos[later], width))}
 
+def _offer(a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray, text: np.ndarray, own: int, n: int) -> Iterator[pa.RecordBatch]:
+    """Of the places of a bucket, in order, each different key (a, b) once, and the places with its number."""
+    if not len(a):
+        return
+    order = np.lexsort((pos, doc, b, a))
+    new = _new(a[order], b[order])
+    begin = np.flatnonzero(new)
+    other = new | _new(doc[order], pos[order])  # texts of one doc_id may share a place
+    count = np.add.reduceat(other, begin, dtype=np.uint32)
+    head = order[begin]
+    by_place = np.argsort(head)
+    number = np.empty(len(begin), dtype=np.uint32)
+    number[by_place] = np.arange(len(begin), dtype=np.uint32)
+    of = np.empty(len(a), dtype=np.uint32)
+    of[order] = number[np.cumsum(new) - 1]
+    yield from of_kind(_HELD, np.full(len(a), own, np.int32), doc, pos, text, of)
+    head, count = head[by_place], count[by_place]
+    a, b = a[head], b[head]
+    yield from of_kind(_KEY, bucket_of(flat.mix(flat.mix(a) + b), n), a, b, np.arange(len(a), dtype=np.uint32), count, doc[head], pos[head], np.full(len(a), own, np.int32))
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal keys of all buckets, sorted, get one rank; those with another place go back to their buckets."""
+    for x in kinds(batches, {_KEY: _KEY_OF}, pass_on=(_HELD, _FOUND, _LEVEL)):
+        if isinstance(x, pa.RecordBatch):
+            yield x
+            continue
+        a, b, number, count, doc, pos, src, bucket = x[_KEY]
+        if not len(a):
+            continue
+        order = np.lexsort((pos, doc, b, a))
+        new = _new(a[order], b[order])
+        begin = np.flatnonzero(new)
+        many = np.add.reduceat(count[order], begin, dtype=np.int64) > 1
+        size = np.diff(np.append(begin, len(a)))
+        rank = np.repeat(np.arange(len(begin), dtype=np.uint64) | np.uint64(int(bucket[0]) << 40), size)
+        keep = np.flatnonzero(np.repeat(many, size))
+        keep = keep[np.lexsort((number[order[keep]], src[order[keep]]))]
+        at = order[keep]
+        yield from of_kind(_RANK, src[at], number[at], rank[keep], (~new[keep]).astype(np.uint8))
+    flat.release()
+
+
+def _ranked(x: dict[int, list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """(doc, text, pos, rank, later) of the places whose key has another one, in order."""
+    doc, pos, text, number, _ = x[_HELD]
+    named, rank, later, _ = x[_RANK]
+    if not len(named):
+        return doc[:0], text[:0], pos[:0], rank, later
+    rank_of, later_of = np.zeros(int(number.max()) + 1, dtype=np.uint64), np.full(int(number.max()) + 1, 2, dtype=np.uint8)
+    rank_of[named], later_of[named] = rank, later
+    keep = later_of[number] < 2
+    doc, pos, text, number = doc[keep], pos[keep], text[keep], number[keep]
+    order = np.lexsort((pos, doc, number))
+    begin = np.flatnonzero(_new(number[order]))
+    head = np.repeat(order[begin], np.diff(np.append(begin, len(order))))
+    again = np.empty(len(order), dtype=bool)
+    again[order] = (doc[order] != doc[head]) | (pos[order] != pos[head])
+    later = later_of[number].astype(bool) | again
+    order = np.lexsort((pos, text, doc))
+    number = number[order]
+    return doc[order], text[order], pos[order], rank_of[number], later[order]
+
+
+def _pairs(doc: np.ndarray, text: np.ndarray, pos: np.ndarray, rank: np.ndarray, step: int, own: int, n: int) -> Iterator[pa.RecordBatch]:
+    """The keys (rank, rank of the place ``step`` words on) of ordered places."""
+    if len(doc):
+        code = (np.cumsum(_new(doc, text)) << 32) + pos
+        there = np.searchsorted(code, code + step)
+        there[there == len(code)] = 0
+        has = np.flatnonzero(code[there] == code + step)
+        yield from _offer(rank[has], rank[there[has]], doc[has], pos[has], text[has], own, n)
+
+
+def _first(n: int, step: int | None) -> Callable:
+    """The first round's keys: pairs of hashes ``step`` words apart, or single hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (x,) = kinds(batches, {_PLACE: _PLACE_OF})
+        h, doc, pos, text, bucket = x[_PLACE]
+        if len(h):
+            order = np.lexsort((pos, text, doc))
+            order = order[_new(doc[order], text[order], pos[order])]  # rows may be repeated
+            h, doc, pos, text = h[order], doc[order], pos[order], text[order]
+            if step:
+                yield from _pairs(doc, text, pos, h, step, int(bucket[0]), n)
+            else:
+                yield from _offer(h, np.zeros(len(h), dtype=np.uint64), doc, pos, text, int(bucket[0]), n)
+        flat.release()
+
+    return run
+
+
+def _next(n: int, length: int, step: int | None, spans: bool, level: bool) -> Callable:
+    """Of the places ranked by ``length`` words, the next round's keys (of ranks ``step`` words apart), and what is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in kinds(batches, {_HELD: _HELD_OF, _RANK: _RANK_OF}, pass_on=(_FOUND, _LEVEL)):
+            if isinstance(x, pa.RecordBatch):
+                yield x
+                continue
+            own = x[_HELD][-1]
+            doc, text, pos, rank, later = _ranked(x)
+            if not len(doc):
+                continue
+            own = int(own[0])
+            if spans:
+                for only, kind in ((np.ones(len(doc), dtype=bool), 0), (later, 1)):
+                    d, begin, end = _union(doc[only], pos[only], pos[only] + length)
+                    yield from of_kind(_FOUND, np.full(len(d), own, np.int32), d, begin, end, np.full(len(d), kind, np.uint8))
+            if level:
+                ids = np.unique(doc)
+                yield from of_kind(_LEVEL, np.full(len(ids), own, np.int32), ids, np.full(len(ids), length, np.int32))
+            if step:
+                yield from _pairs(doc, text, pos, rank, step, own, n)
+        flat.release()
+
+    return run
+
+
+def _round(work: DataFrame, n: int, then: Callable) -> Table:
+    return table(exchange(exchange(work, n).mapInArrow(_merge, KINDS), n).mapInArrow(then, KINDS))
+
+
+def _union(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of words that are covered by spans or lie between two that touch."""
+    order = np.lexsort((begin, doc))
+    doc, begin, end = doc[order], begin[order].astype(np.int64), end[order].astype(np.int64)
+    if not len(doc):
+        return doc, begin.astype(np.int32), end.astype(np.int32)
+    base = (np.cumsum(_new(doc)) << 32).astype(np.int64)
+    upto = np.maximum.accumulate(base + end)
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = base[1:] + begin[1:] > upto[:-1]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(doc)) - 1
+    return doc[at], begin[at].astype(np.int32), (upto[last] - base[last]).astype(np.int32)
 
-def _mixed(doc: np.ndarray) -> np.ndarray:
-    return flat.mix(doc.astype(np.int64).view(np.uint64))
 
+def _listed(docs: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    cuts = np.append(np.searchsorted(doc, docs), len(doc)).astype(np.int32)
+    return pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["begin", "end"]))
 
-_FOUND = f"doc_id bigint, repeated {SPANS}, removed {SPANS}, level int, {schema('key', 'doc', 'pos', 'text')}"
-_WINDOW = _PLACE | {"text": np.uint32}
 
+def _result(last: DataFrame, found: Table, n: int, min_words: int) -> DataFrame:
+    """(doc_id, repeated, removed, longest): what the rounds found, and the documents with all the words of another."""
 
-def _found(**columns: pa.Array) -> pa.RecordBatch:
-    types = {"doc_id": pa.int64(), "repeated": pa.list_(_SPAN.value_type), "removed": pa.list_(_SPAN.value_type), "level": pa.int32(), "bucket": pa.int32()}
-    types |= dict.fromkeys(("key", "doc", "pos", "text"), pa.binary())
-    size = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(size, t)) for k, t in types.items()], names=list(types))
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, words, later = (batch.column(k).to_numpy() for k in range(3))
+            zero = np.zeros(len(doc), dtype=np.int32)
+            level = np.full(len(doc), min_words, dtype=np.int32)
+            while (more := level * 2 <= words).any():
+                level[more] *= 2
+            for only, kind in ((later >= 0, 0), (later > 0, 1)):
+                yield from of_kind(_FOUND, bucket_of(_mixed(doc[only]), n), doc[only], zero[only], words[only].astype(np.int32), np.full(int(only.sum()), kind, np.uint8))
+            yield from of_kind(_LEVEL, bucket_of(_mixed(doc), n), doc, level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (x,) = kinds(batches, {_FOUND: (np.int64, np.int32, np.int32, np.uint8), _LEVEL: (np.int64, np.int32)})
+        doc, begin, end, kind, _ = x[_FOUND]
+        if not len(doc):
+            return
+        docs = np.unique(doc)
+        longest = np.full(len(docs), min_words, dtype=np.int32)
+        np.maximum.at(longest, np.searchsorted(docs, x[_LEVEL][0]), x[_LEVEL][1])
+        lists = [_listed(docs, *_union(doc[kind == k], begin[kind == k], end[kind == k])) for k in range(2)]
+        yield pa.RecordBatch.from_arrays([pa.array(docs), *lists, pa.array(longest)], names=["doc_id", "repeated", "removed", "longest"])
+
+    whole = found.df.where("words is not null").select("doc_id", "words", "later").mapInArrow(copies, KINDS)
+    seen = last.where(F.col("kind").isin(_FOUND, _LEVEL)).unionByName(whole)
+    return exchange(seen, n).mapInArrow(run, f"doc_id bigint, repeated {SPANS}, removed {SPANS}, longest int")
 
 
 def substring_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Level-wise doubling: (doc_id, repeated, removed, longest) of each document with a repeated passage.
 
-    The levels are windows of half of min_words (the anchors), of min_words (all
-    that hold a repeated anchor; these decide the spans), then of twice the length
-    from all positions whose window, and the one that follows it, are repeated, until
-    none is. ``repeated`` are the word spans covered by windows of min_words that
-    occur at another place, ``removed`` those covered by windows that occur at an
-    earlier one. ``longest`` is the greatest level at which a window of the document
-    was repeated.
+    The levels are windows of min_words (all that hold a repeated anchor; these decide
+    the spans), then of twice the length from all positions whose window, and the one that
+    follows it, are repeated, until none is. ``repeated`` are the word spans covered by
+    windows of min_words that occur at another place, ``removed`` those covered by windows
+    that occur at an earlier one. ``longest`` is the greatest level at which a window of the
+    document was repeated.
     """
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
     spark, base = docs.sparkSession, (min_words + 1) // 2
     n = partitions(spark)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Gather(n)
-        for batch in batches:
-            ids = _ids(batch)
-            for c in flat.chunks(batch.column(1)):
-                sums = flat.word_sums(c.words())
-                at, _ = _near(c, batch.column(2), base, min_words)
-                own = np.searchsorted(c.first, at, side="right") - 1
-                keys = flat.window_at(sums, at, min_words)
-                # Tells texts apart that share a doc_id: a window goes on in its own text alone.
-                text = np.array([flat.window_at(sums, c.first[k : k + 1], int(m))[0] for k, m in enumerate(c.counts)], dtype=np.uint64).astype(np.uint32)
-                yield from out.add(keys, key=keys, doc=ids[c.rows.start + own], pos=(at - c.first[own]).astype(np.int32), text=text[own])
-        yield from out.flush()
-
-    def rank(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """Repeated windows, with a number for what they hold, sent to their document's bucket."""
-        order, many, later = repeated(r["key"], doc=r["doc"], pos=r["pos"])
-        at = order[many]
-        key, doc = r["key"][at], r["doc"][at]
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = key[1:] != key[:-1]
-        number = bucket_of(key, n).astype(np.uint64) << np.uint64(40) | np.cumsum(new).astype(np.uint64)
-        back = np.lexsort((r["pos"][at], r["text"][at], doc))
-        out = Gather(n, limit=1 << 62)
-        list(out.add(_mixed(doc[back]), rank=number[back], doc=doc[back], pos=r["pos"][at][back], text=r["text"][at][back], later=later[many][back].astype(np.uint8)))
-        yield from out.flush()
-
-    def double(level: int):
-        def run(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if not len(r["doc"]):
-                return
-            ids = np.unique(r["doc"])
-            spans = spans_batch(r["doc"], r["pos"], r["later"], min_words) if level == min_words else {"doc_id": pa.array(ids)}
-            yield _found(**spans, level=pa.array(np.full(len(ids), level, dtype=np.int32)))
-            order = np.lexsort((r["pos"], r["text"], r["doc"]))
-            doc, pos, text, number = (r[k][order] for k in ("doc", "pos", "text", "rank"))
-            new = np.ones(len(doc), dtype=bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
-            code = (np.cumsum(new) << 32) + pos
-            there = np.searchsorted(code, code + level)
-            there[there == len(code)] = 0
-            has = np.flatnonzero(code[there] == code + level)
-            keys = flat.mix(flat.mix(number[has]) + number[there[has]])
-            out = Gather(n, limit=1 << 62)
-            list(out.add(keys, key=keys, doc=doc[has], pos=pos[has], text=text[has]))
-            for batch in out.flush():
-                yield _found(**dict(zip(batch.schema.names, batch.columns)))
-
-        return run
-
-    sent = exchange(_near_rows(docs, base, min_words).mapInArrow(send, schema("key", "doc", "pos", "text")), n)
-    level, tables = min_words, []
+    found = marks(docs, base, min_words)
+    start = _places(docs, found, base, min_words, min_words)
+    level, have = min_words, start
+    work = exchange(start.df, n).mapInArrow(_first(n, None), KINDS)
     while True:
-        ranked = exchange(per_task(sent, rank, {"key": np.uint64} | _WINDOW, schema("rank", "doc", "pos", "text", "later")), n)
-        have: Table = table(per_task(ranked, double(level), {"rank": np.uint64, "later": np.uint8} | _WINDOW, _FOUND))
-        tables.append(have.df)
-        work = have.df.where("bucket is not null").select("bucket", "key", "doc", "pos", "text")
-        if work.isEmpty():
+        before, have = have, _round(work, n, _next(n, level, level, level == min_words, True))
+        before.drop()
+        tidy(spark)
+        if have.df.where(F.col("kind") == _KEY).isEmpty():
             break
-        sent = exchange(work, n)
+        work = have.df
         level *= 2
-    spans = tables[0].where("repeated is not null").select("doc_id", "repeated", "removed")
-    levels = tables[0].where("level is not null").select("doc_id", "level")
-    for t in tables[1:]:
-        levels = levels.unionByName(t.where("level is not null").select("doc_id", "level"))
-    return spans.join(levels.groupBy("doc_id").agg(F.max("level").alias("longest")), "doc_id")
+    out = table(_result(have.df, found, n, min_words))
+    for t in (have, found):
+        t.drop()
+    return out.df
 
 
 def suffix_repeats(docs: DataFrame, threshold: int = 50, base: int | None = None) -> DataFrame:
     """Distributed prefix doubling: (doc_id, repeated, removed) of each document with a repeated passage.
 
-    The positions near a repeated anchor are ranked by the ``base`` words that begin
-    there (half of the threshold, rounded up, unless given). In each round Spark sorts
-    the pairs (rank at p, rank at p + offset) by ranges of the first, equal pairs get
-    one new rank, and positions whose pair is unique drop out; the offset grows with
-    the ranked length, and the last one makes it the threshold. ``repeated`` and
-    ``removed`` are spans of words as in ``substring_repeats``.
+    The positions near a repeated anchor begin with the hash of ``base`` words (4, or fewer
+    if the threshold is) as their rank. In each round the pairs (rank at p, rank at p + offset) are sorted, equal pairs get
+    one new rank, and positions whose pair is unique drop out; the offset is the
+    ranked length, and in the last round what makes it the threshold. The order of pairs is that
+    of their hashes' ranges, then of the ranks: all that matters is that equal ones meet.
+    ``repeated`` and ``removed`` are spans of words as in ``substring_repeats``.
     """
     if threshold < 2:
         raise ValueError("threshold must be at least 2")
-    base = base or (threshold + 1) // 2
+    base = min(4, threshold - 1) if base is None else base
     if not 1 <= base < threshold:
         raise ValueError("base must be at least 1 and less than the threshold")
-    n, wide = partitions(docs.sparkSession), (threshold + 1) // 2
-    offset = min(base, threshold - base)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Gather(n)
-        for batch in batches:
-            ids = _ids(batch)
-            for c in flat.chunks(batch.column(1)):
-                sums = flat.word_sums(c.words())
-                at, _ = _near(c, batch.column(2), wide, threshold, least=base + offset)
-                own = np.searchsorted(c.first, at, side="right") - 1
-                a = flat.window_at(sums, at, base)
-                yield from out.add(a, a=a, b=flat.window_at(sums, at + offset, base), doc=ids[c.rows.start + own], pos=(at - c.first[own]).astype(np.int32))
-        yield from out.flush()
-
-    def rank(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """Ranked positions whose pair isn't unique, sent to their document's bucket."""
-        order, many, later = repeated(r["a"], r["b"], doc=r["doc"], pos=r["pos"])
-        at = order[many]
-        a, b = r["a"][at], r["b"][at]
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        high = a & np.uint64(0xFFFFFFFF00000000)  # ranks keep the order, and their bucket
-        out = Gather(n, limit=1 << 62)
-        list(out.add(_mixed(r["doc"][at]), rank=high | np.flatnonzero(new).astype(np.uint64)[np.cumsum(new) - 1], doc=r["doc"][at], pos=r["pos"][at], later=later[many].astype(np.uint8)))
-        yield from out.flush()
-
-    def pair(step: int):
-        def run(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            order = np.lexsort((r["pos"], r["doc"]))
-            doc, pos, rank = (r[k][order] for k in ("doc", "pos", "rank"))
-            new = np.ones(len(doc), dtype=bool)
-            new[1:] = doc[1:] != doc[:-1]
-            code = (np.cumsum(new) << 32) + pos
-            there = np.searchsorted(code, code + step)
-            there[there == len(code)] = 0
-            has = np.flatnonzero(code[there] == code + step) if len(code) else there
-            out = Gather(n, limit=1 << 62)
-            list(out.add(rank[has], a=rank[has], b=rank[there[has]], doc=doc[has], pos=pos[has]))
-            yield from out.flush()
-
-        return run
-
-    def spans(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if len(r["doc"]):
-            yield pa.RecordBatch.from_pydict(spans_batch(r["doc"], r["pos"], r["later"], threshold))
-
-    pairs, ranks = {"a": np.uint64, "b": np.uint64} | _PLACE, {"rank": np.uint64, "later": np.uint8} | _PLACE
-    out = _near_rows(docs, wide, threshold).mapInArrow(send, schema("a", "b", "doc", "pos"))
-    length = base
+    spark, wide = docs.sparkSession, (threshold + 1) // 2
+    n = partitions(spark)
+    found = marks(docs, wide, threshold)
+    have = _places(docs, found, wide, threshold, base)
+    tidy(spark)
+    length, step = base, min(base, threshold - base)
+    work = exchange(have.df, n).mapInArrow(_first(n, step), KINDS)
     while True:
-        length += offset
-        out = exchange(per_task(exchange(out, n), rank, pairs, schema("rank", "doc", "pos", "later")), n)
-        if length == threshold:
-            return per_task(out, spans, ranks, f"doc_id bigint, repeated {SPANS}, removed {SPANS}")
-        offset = min(length, threshold - length)
-        out = per_task(out, pair(offset), ranks, schema("a", "b", "doc", "pos"))
+        length += step
+        step = min(length, threshold - length)
+        before, have = have, _round(work, n, _next(n, length, step or None, not step, False))
+        before.drop()
+        tidy(spark)
+        if not step or have.df.where(F.col("kind") == _KEY).isEmpty():
+            break
+        work = have.df
+    out = table(_result(have.df, found, n, threshold).drop("longest"))
+    for t in (have, found):
+        t.drop()
+    return out.df
 
 
 def without_spans(texts: pa.Array, removed: pa.ListArray) -> pa.Array:

@@ -132,7 +132,8 @@ def unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> dict[
 
 
 #: Columns of rows of several kinds: ``c0`` ... hold the fields of their kind in order.
-KINDS = "bucket int, kind int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
+_FIELDS = 7
+KINDS = ", ".join(["bucket int, kind int", *(f"c{k} binary" for k in range(_FIELDS))])
 
 
 def of_kind(kind: int, bucket: np.ndarray, *fields: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -141,8 +142,8 @@ def of_kind(kind: int, bucket: np.ndarray, *fields: np.ndarray) -> Iterator[pa.R
         packed = rows(bucket, {f"c{k}": a for k, a in enumerate(fields)})
         n = packed.num_rows
         empty = pa.nulls(n, pa.binary())
-        columns = [packed.column(0), pa.array(np.full(n, kind, np.int32)), *(packed.column(1 + k) if k < len(fields) else empty for k in range(5))]
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", *(f"c{k}" for k in range(5))])
+        columns = [packed.column(0), pa.array(np.full(n, kind, np.int32)), *(packed.column(1 + k) if k < len(fields) else empty for k in range(_FIELDS))]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", *(f"c{k}" for k in range(_FIELDS))])
 
 
 def kinds(batches: Iterator[pa.RecordBatch], known: dict[int, tuple[type, ...]], pass_on: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch | dict[int, list[np.ndarray]]]:

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+from sampleflow.llm import repeats
 from sampleflow.llm.repeats import remove_spans, substring_repeats, suffix_repeats
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -148,6 +149,45 @@ def test_empty_table_and_long_text(spark):
         assert found(operator(docs, 50)) == {1: ([(0, 200_000)], []), 2: ([(1, 200_001)], [(1, 200_001)])}
 
 
+def test_ranks_double_in_several_rounds(spark, monkeypatch):
+    lengths = []
+    following = repeats._next
+    monkeypatch.setattr(repeats, "_next", lambda n, length, step, spans, level: lengths.append((length, step)) or following(n, length, step, spans, level))
+    r = random.Random(3)
+    words = lambda n: [f"v{r.random()}" for _ in range(n)]
+    passages = [words(k) for k in (49, 50, 51, 120)]
+    texts = {i: " ".join(words(r.randrange(30)) + passages[i % 4] + words(r.randrange(30))) for i in range(12)}
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    assert found(suffix_repeats(docs)) == brute(texts, 50)
+    assert lengths == [(8, 8), (16, 16), (32, 18), (50, None)]
+    unique = spark.createDataFrame([(i, " ".join(words(60)), None, None, None) for i in range(3)], SCHEMA)
+    lengths.clear()
+    assert found(suffix_repeats(unique)) == {} and lengths == [(8, 8)]  # until all are unique
+
+
+def test_copies_and_passages_that_very_many_share(spark):
+    """A third of the rows are one text, another third share a passage; rows are repeated, ids have several texts."""
+    r = random.Random(6)
+    words = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    one, passage = " ".join(words(130)), words(60)
+    rows = [(3 * i, one) for i in range(60)] + [(3 * i + 1, " ".join(words(20) + passage + words(20))) for i in range(60)] + [(3 * i + 2, " ".join(words(70))) for i in range(60)]
+    rows += rows[:5] + rows[60:65] + [(1, one), (500, None), (501, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    places = defaultdict(set)
+    for i, t in set(rows):
+        w = (t or "").split()
+        for p in range(len(w) - 49):
+            places[tuple(w[p : p + 50])].add((i, p))
+    many, later = defaultdict(set), defaultdict(set)
+    for at in places.values():
+        for i, p in at if len(at) > 1 else ():
+            many[i].add(p)
+            if (i, p) != min(at):
+                later[i].add(p)
+    want = {i: (covered(many[i], 50), covered(later[i], 50)) for i in many}
+    assert found(suffix_repeats(docs)) == found(substring_repeats(docs)) == want
+
+
 def test_arguments(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for f in (lambda: substring_repeats(empty, 1), lambda: suffix_repeats(empty, 1), lambda: suffix_repeats(empty, 9, base=9)):
