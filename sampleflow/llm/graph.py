@@ -1,7 +1,8 @@
-"""Connected components of a graph in a DataFrame."""
+"""Connected components of a graph in a DataFrame, and classes of linked documents."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,36 @@ def components(edges: DataFrame) -> Table:
     have.drop()
     start.drop()
     return out
+
+
+def least_labels(member: np.ndarray, group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node, and one node for all that are connected by the groups (ascending numbers) or the edges (a, b), within a task."""
+    group = np.concatenate([group, np.repeat(np.arange(len(a)) + (group[-1] + 1 if len(group) else 0), 2)])
+    ids, node = np.unique(np.concatenate([member, np.column_stack([a, b]).ravel()]), return_inverse=True)
+    label = np.arange(len(ids))
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else group
+    while len(group):  # least label within each group, then within each node
+        least = np.minimum.reduceat(label[node], begin)
+        before = label.copy()
+        np.minimum.at(label, node, least[group])
+        label = label[label]
+        if np.array_equal(before, label):
+            break
+    return ids, ids[label]
+
+
+def classes(members: DataFrame, found: DataFrame) -> Table:
+    """Table of (doc_id, class_id, links) of each document with a link. members: (node, doc_id), each pair once; the
+    documents of one node are linked with each other. found: (node, links, root), in parts: with how many documents
+    of other nodes those of the node are linked, and a node that it is connected with. links are added up; class_id is
+    the least doc_id that a document is connected with."""
+    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    nodes = members.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    known = nodes.join(counts, "node", "left").join(roots.df, "node", "left")
+    known = table(known.select("node", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")).where("links > 0"))
+    named = known.df.join(known.df.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id", "links")
+    out = table(members.join(named, "node").select("doc_id", "class_id", "links"))
+    for t in (roots, known):
+        t.drop()
+    return out

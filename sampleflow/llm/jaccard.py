@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .graph import components
+from .graph import classes, components, least_labels
 from .repeats import _identified, _ids
 from .spread import GATHER, KINDS, bucket_of, exchange, kinds, of_kind, partitions, table, tidy
 
@@ -241,9 +241,9 @@ def links(prefixes: DataFrame, threshold: float) -> DataFrame:
             key, doc, size = key[order], doc[order], size[order].astype(np.float64)
             new = np.ones(len(key), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (size[:-1] < size[1:] * threshold - 1e-9)
-            node, label = _least_labels(doc, np.cumsum(new) - 1, *x[1][:2])
+            node, label = least_labels(doc, np.cumsum(new) - 1, *x[1][:2])
         else:
-            node, label = _least_labels(doc, np.zeros(0, dtype=np.int64), *x[1][:2])
+            node, label = least_labels(doc, np.zeros(0, dtype=np.int64), *x[1][:2])
         at = np.flatnonzero(label != node)
         yield pa.RecordBatch.from_pydict({"a": node[at].view(np.int64), "b": label[at].view(np.int64)})
 
@@ -251,22 +251,6 @@ def links(prefixes: DataFrame, threshold: float) -> DataFrame:
     return sent.mapInArrow(link, "a bigint, b bigint")
 
 
-def _least_labels(member: np.ndarray, group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each node, and one node for all that are connected by the groups (ascending numbers) or the edges (a, b)."""
-    group = np.concatenate([group, np.repeat(np.arange(len(a)) + (group[-1] + 1 if len(group) else 0), 2)])
-    ids, node = np.unique(np.concatenate([member, np.column_stack([a, b]).ravel()]), return_inverse=True)
-    label = np.arange(len(ids))
-    begin = _groups(group) if len(group) else group
-    while len(group):  # least label within each group, then within each node
-        least = np.minimum.reduceat(label[node], begin)
-        before = label.copy()
-        np.minimum.at(label, node, least[group])
-        label = label[label]
-        if np.array_equal(before, label):
-            break
-    return ids, ids[label]
-
-
 def join_sets(parts: list[np.ndarray], sides: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(set, sets alike that come after it in order of size, similarities) among distinct sets with unlike
     sides, or among all where the sides are the same. sizes: where elements that no two sets share are left out."""
@@ -359,13 +343,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.6, n: int = 3) -> DataFra
     tasks = tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
     found = table(tasks.mapInArrow(run, "node bigint, links bigint, root bigint"))
     near.drop()
-    classes = components(found.df.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    counts = found.df.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.df.select("node", "least", "weight").join(counts, "node", "left").join(classes.df, "node", "left")
-    known = known.select("node", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")).where("links > 0")
-    named = known.join(known.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id", "links")
-    out = table(members.join(named, "node").select("doc_id", "class_id", "links"))
-    for t in (whole, nodes, found, classes):
+    out = classes(members, found.df)
+    for t in (whole, nodes, found):
         t.drop()
     tidy(spark)
     return out.df
@@ -403,10 +382,10 @@ def _blocks(sized: DataFrame, threshold: float) -> DataFrame:
     return placed.join(tasks, ["root", "block"]).select("row", "node", "weight", "size", "root", "i", "j", "block")
 
 
-def first_of_each_group(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def first_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """``docs`` without those that are in the class of a lesser doc_id. Rows of one doc_id go or stay together."""
     name = "_gone"
     while name in {c.lower() for c in docs.columns}:
         name = "_" + name
-    gone = classes.where("class_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    gone = groups.where("class_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

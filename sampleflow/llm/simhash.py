@@ -1,29 +1,34 @@
-"""SimHash fingerprints, and all pairs of them within a Hamming radius.
+"""SimHash fingerprints, and which documents are within a Hamming radius of each other.
 
 Each distinct word of a text votes on 64 signed bits by its hash, with the weight
 1 + floor(log2(occurrences)); a bit is set where the votes are positive. The 64 bits
 are cut into radius + 3 blocks. Two fingerprints that differ in at most ``radius``
 bits agree in three blocks at least, so with one table for every choice of three
-blocks, keyed by these, they meet in one of the tables. Each pair is kept in the
+blocks, keyed by these, they meet in one of the tables. Each pair counts in the
 first table where it meets; nothing is approximate.
 
-Distinct fingerprints are compared, each under the least doc_id that has it.
-``all_close_pairs`` gives each pair of them back to all their documents, and pairs the
-documents of one fingerprint with each other; ``close_pairs`` leaves this out, and pairs
-those with the least doc_id among them, which alone is paired with other fingerprints.
+Distinct fingerprints are compared, each with the number of its documents. A task gives,
+of each of its fingerprints, with how many documents of others it is linked, and a
+connection to the least; pairs aren't written. Connected documents are a class.
 
 NEAR is taken from the distances of near copies at sf0.1 (1,135 pairs of distinct sets
 of 3-grams with Jaccard similarity >= 0.6): 23 % of them are within 3 bits, 81 % within
 7, 89 % within 8, 94 % within 9. Of the 1,085 pairs of fingerprints within 8 bits about
 92 % are such copies; beyond it chance pairs take over (1,941 within 10, 8,307 within 12).
 
-Defined cases: null texts and texts without words have no fingerprint. Null doc_ids
-are left out of the pairs. Rows that repeat a doc_id count once (with different
-texts: the least fingerprint). Extra columns are not read.
+With T tables of b bits a key, N fingerprints meet T x N^2 / 2^(b+1) times by chance: few for
+the 17 bits of radius 8 up to some 10 million, too many beyond a billion, where the
+radius must be less (3: 35 tables of the 36 bits that four blocks have; ``agree`` sets their number).
+
+Defined cases: null and empty texts, and texts without words, have no fingerprint and no
+links; very long texts are taken whole. Null doc_ids are left out. Rows that repeat a doc_id
+count once (with different texts: the least fingerprint). Equal distances need no order, as
+all within the radius count. An empty table has no links. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .graph import classes, least_labels
 from .spread import Gather, bounded_batches, exchange, partitions, per_task, schema, table
 
 #: Bits within which near copies are looked for.
@@ -79,93 +85,77 @@ def simhash(text: Column) -> Column:
     return run(text.cast("string"))
 
 
-def tables(radius: int) -> list[tuple[int, np.uint64]]:
-    """The mask of bits of each table's key."""
-    blocks = radius + 3
-    if not 0 <= radius <= 29:
-        raise ValueError("the radius must be in 0 to 29")
+def tables(radius: int, agree: int = 3) -> list[np.uint64]:
+    """The mask of bits of each table's key: ``agree`` of radius + agree blocks."""
+    blocks = radius + agree
+    if radius < 0 or agree < 1 or blocks > 64:
+        raise ValueError("radius must be at least 0, agree at least 1, and both together at most 64")
+    if math.comb(blocks, agree) > 1 << 15:
+        raise ValueError("this takes over 32,768 tables")
     cuts = [64 * k // blocks for k in range(blocks + 1)]
     masks = [((1 << j) - 1) ^ ((1 << i) - 1) for i, j in zip(cuts, cuts[1:])]
-    return [(k, np.uint64(a | b | c)) for k, (a, b, c) in enumerate(combinations(masks, 3))]
-
-
-def all_close_pairs(prints: DataFrame, radius: int = NEAR) -> DataFrame:
-    """(doc_a, doc_b, print_a, print_b, distance), doc_a < doc_b, of every two documents within ``radius`` bits."""
-    tables(radius)
-    one = table(_one(prints)).df  # fingerprints are made once
-    x, y = (one.select(F.col("doc_id").alias(k), F.col("fingerprint").alias(f"print_{k}")) for k in "ab")
-    across = _close(_leaders(one), radius).select("print_a", "print_b", "distance").join(x, "print_a").join(y, "print_b")
-    equal = x.join(y, F.col("print_a") == F.col("print_b")).where("a < b").withColumn("distance", F.lit(0))
-    both = across.unionByName(equal)
-    least, other = (f(F.struct(F.col("a").alias("doc"), F.col("print_a").alias("print")), F.struct(F.col("b").alias("doc"), F.col("print_b").alias("print"))) for f in (F.least, F.greatest))
-    return both.select(least.alias("x"), other.alias("y"), "distance").selectExpr("x.doc as doc_a", "y.doc as doc_b", "x.print as print_a", "y.print as print_b", "distance")
-
-
-def close_pairs(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(doc_a, doc_b, print_a, print_b, distance) of the rows (doc_id, fingerprint) within ``radius``
-    bits; of equal fingerprints the least doc_id is paired with the others, and alone with unlike ones."""
-    one = _one(prints)
-    least = _leaders(one)
-    equal = one.join(least, "fingerprint").where("doc_id <> least")
-    equal = equal.select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("fingerprint").alias("print_a"), F.col("fingerprint").alias("print_b"), F.lit(0).alias("distance"))
-    return _close(least, radius).unionByName(equal)
+    return [np.uint64(sum(c)) for c in combinations(masks, agree)]
 
 
-def _one(prints: DataFrame) -> DataFrame:
-    """One fingerprint of each doc_id."""
-    return prints.where("doc_id is not null and fingerprint is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("fingerprint").alias("fingerprint"))
+def close_classes(prints: DataFrame, radius: int = NEAR, agree: int = 3) -> DataFrame:
+    """(doc_id, class_id, links) of each document with a link, from rows (doc_id, fingerprint): how many
+    other documents are within ``radius`` bits, and the least doc_id that it is connected with."""
+    keys = tables(radius, agree)
+    known = prints.where("doc_id is not null and fingerprint is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("fingerprint").alias("node"))
+    members = table(known.select("node", "doc_id"))  # fingerprints are made once
+    found = table(_close(members.df.groupBy("node").agg(F.count(F.lit(1)).alias("weight")), radius, keys))
+    out = classes(members.df, found.df)
+    for t in (members, found):
+        t.drop()
+    return out.df
 
 
-def _leaders(one: DataFrame) -> DataFrame:
-    return one.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-
-
-def _close(least: DataFrame, radius: int) -> DataFrame:
-    """Pairs of unlike fingerprints within ``radius`` bits, by the least doc_id of each."""
-    n, keys = partitions(least.sparkSession), tables(radius)
+def _close(nodes: DataFrame, radius: int, keys: list[np.uint64]) -> DataFrame:
+    """(node, links, root): what each task finds of its fingerprints."""
+    n, masks = partitions(nodes.sparkSession), np.array(keys, dtype=np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Gather(n)
         for batch in batches:
-            p, d = (batch.column(k).to_numpy().astype(np.int64) for k in range(2))
-            for k, mask in keys:
-                yield from out.add(flat.mix((p.view(np.uint64) & mask) ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), table=np.full(len(p), k, np.uint16), bits=p, doc=d)
+            p, w = (batch.column(k).to_numpy().astype(np.int64) for k in range(2))
+            for k, mask in enumerate(masks):
+                yield from out.add(flat.mix((p.view(np.uint64) & mask) ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), table=np.full(len(p), k, np.uint16), bits=p, weight=w)
         yield from out.flush()
 
     def meet(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        bits, doc, table = r["bits"].view(np.uint64), r["doc"], r["table"]
-        masks = np.array([m for _, m in keys], dtype=np.uint64)
+        bits, weight, table = r["bits"].view(np.uint64), r["weight"], r["table"]
         key = bits & masks[table] if len(table) else bits
-        order = np.lexsort((doc, key, table))
-        bits, doc, table, key = bits[order], doc[order], table[order], key[order]
+        order = np.lexsort((bits, key, table))
+        bits, weight, table, key = bits[order], weight[order], table[order], key[order]
+        ids, node = np.unique(bits, return_inverse=True)
+        links, pairs, waiting = np.zeros(len(ids), dtype=np.int64), [], 0
         at, step = np.arange(len(key)), 0
         while len(at):  # neighbours 1, 2, 3 ... apart, as long as any share a key
             step += 1
             at = at[at + step < len(key)]
             at = at[(key[at] == key[at + step]) & (table[at] == table[at + step])]
             differ = bits[at] ^ bits[at + step]
-            distance = np.bitwise_count(differ)
-            near = np.flatnonzero(distance <= radius)
+            near = np.flatnonzero(np.bitwise_count(differ) <= radius)
             if len(near):
                 first = np.full(len(near), -1)
                 for k in reversed(range(len(masks))):
                     first[differ[near] & masks[k] == 0] = k
                 near = near[first == table[at[near]]]
                 i, j = at[near], at[near] + step
-                swap = doc[i] > doc[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_pydict({"doc_a": doc[i], "doc_b": doc[j], "print_a": bits[i].view(np.int64), "print_b": bits[j].view(np.int64), "distance": distance[near].astype(np.int32)})
-
-    sent = exchange(least.select("fingerprint", "least").mapInArrow(send, schema("table", "bits", "doc")), n)
-    out = "doc_a bigint, doc_b bigint, print_a bigint, print_b bigint, distance int"
-    return per_task(sent, meet, {"table": np.uint16, "bits": np.int64, "doc": np.int64}, out)
+                np.add.at(links, node[i], weight[j])
+                np.add.at(links, node[j], weight[i])
+                pairs.append(np.column_stack([bits[i], bits[j]]))
+                waiting += len(i)
+            if waiting > 1 << 20:  # what is connected is kept as a star
+                pairs, waiting = [np.column_stack(least_labels(bits[:0], node[:0], *np.concatenate(pairs).T))], 0
+        if pairs:
+            name, root = least_labels(bits[:0], node[:0], *np.concatenate(pairs).T)
+            yield pa.RecordBatch.from_pydict({"node": name.view(np.int64), "links": links[np.searchsorted(ids, name)], "root": root.view(np.int64)})
 
-
-def all_close_documents(docs: DataFrame, radius: int = NEAR) -> DataFrame:
-    bounded_batches(docs.sparkSession)
-    return all_close_pairs(docs.select("doc_id", simhash(F.col("text")).alias("fingerprint")), radius)
+    sent = exchange(nodes.select("node", "weight").mapInArrow(send, schema("table", "bits", "weight")), n)
+    return per_task(sent, meet, {"table": np.uint16, "bits": np.int64, "weight": np.int64}, "node bigint, links bigint, root bigint")
 
 
-def close_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
+def close_documents(docs: DataFrame, radius: int = NEAR) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    return close_pairs(docs.select("doc_id", simhash(F.col("text")).alias("fingerprint")), radius)
+    return close_classes(docs.select("doc_id", simhash(F.col("text")).alias("fingerprint")), radius)

@@ -8,7 +8,7 @@ import pytest
 
 from sampleflow.llm import flat
 from sampleflow.llm.queries import op9_simhash
-from sampleflow.llm.simhash import all_close_pairs, close_documents, close_pairs, fingerprints, tables
+from sampleflow.llm.simhash import close_classes, close_documents, fingerprints, tables
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -34,32 +34,46 @@ def test_fingerprints_by_hand():
 
 
 def brute(prints, radius):
-    groups = {}
-    for d, p in sorted(prints.items()):
-        groups.setdefault(p, []).append(d)
-    out = {(g[0], x): 0 for g in groups.values() for x in g[1:]}
-    for (p, a), (q, b) in combinations(groups.items(), 2):
-        if (n := bin((p ^ q) & (1 << 64) - 1).count("1")) <= radius:
-            out[min(a[0], b[0]), max(a[0], b[0])] = n
-    return out
-
-
-@pytest.mark.parametrize("radius", [0, 1, 3, 6])
-def test_pairs_are_those_of_brute_force(spark, radius):
+    """doc_id -> (class_id, links), by comparing every two documents."""
+    alike = {i: {i} for i in prints}
+    for a, b in combinations(sorted(prints), 2):
+        if bin((prints[a] ^ prints[b]) & (1 << 64) - 1).count("1") <= radius:
+            alike[a].add(b)
+            alike[b].add(a)
+    out = {}
+    for i in sorted(prints):
+        if i in out:
+            continue
+        reached, work = {i}, [i]
+        while work:
+            more = alike[work.pop()] - reached
+            reached |= more
+            work += more
+        out |= {k: (i, len(alike[k]) - 1) for k in reached}
+    return {k: v for k, v in out.items() if v[1]}
+
+
+def found(df):
+    rows = [(x.doc_id, (x.class_id, x.links)) for x in df.collect()]
+    assert len(rows) == len(dict(rows))
+    return dict(rows)
+
+
+@pytest.mark.parametrize("radius,agree", [(0, 3), (1, 1), (3, 4), (8, 3)])
+def test_classes_are_those_of_brute_force(spark, radius, agree):
     r = random.Random(radius)
     prints, ends = {}, []
-    for i in range(400):
-        p = r.getrandbits(64)
-        if ends and r.random() < 0.8:
-            p = r.choice(ends)
-            for _ in range(r.randrange(radius + 3)):
-                p ^= 1 << r.randrange(64)
+    for i in r.sample(range(1000), 300):
+        p = r.choice(ends) if ends and r.random() < 0.8 else r.getrandbits(64)
+        for _ in range(r.choice([0, 0, r.randrange(radius + 3)])):
+            p ^= 1 << r.randrange(64)
         ends.append(p)
         prints[i] = p - (1 << 64) if p >> 63 else p
-    rows = list(prints.items()) + [(0, prints[0]), (None, 5), (7000, None)]
-    got = [((x.doc_a, x.doc_b), x.distance) for x in close_pairs(spark.createDataFrame(rows, "doc_id bigint, fingerprint bigint"), radius).collect()]
-    assert len(got) == len(dict(got)) and dict(got) == brute(prints, radius)
-    assert len(tables(radius)) == len(list(combinations(range(radius + 3), 3)))
+    rows = list(prints.items()) + [next(iter(prints.items())), (None, 5), (7000, None)]
+    want = brute(prints, radius)
+    assert found(close_classes(spark.createDataFrame(rows, "doc_id bigint, fingerprint bigint"), radius, agree)) == want
+    assert len(want) > 20
+    assert len(tables(radius, agree)) == len(list(combinations(range(radius + agree), agree)))
 
 
 def test_documents_and_defined_cases(spark):
@@ -67,30 +81,15 @@ def test_documents_and_defined_cases(spark):
     base = [f"w{r.randrange(500)}" for _ in range(400)]
     near = base[:200] + ["other"] + base[201:]
     texts = [" ".join(base), " ".join(near), " ".join(base), "quite different", "", None, " \n", "x " * 100_000]
+    prints = {i: by_hand(t) for i, t in enumerate(texts) if t and t.split()}
     rows = [(i, t, None, None, None, 3) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows + rows[:1] + [(None, texts[0], None, None, None, 1)], SCHEMA + ", fingerprint int")
-    got = {(x.doc_a, x.doc_b) for x in close_documents(docs).collect()}
-    assert {(0, 2)} <= got <= {(0, 2), (0, 1)}
+    assert found(close_documents(docs)) == brute(prints, 8)
+    assert brute(prints, 8)[2] == (0, 2)
     assert close_documents(docs.where("doc_id < 0")).collect() == []
-    with pytest.raises(ValueError):
-        tables(30)
-
-
-@pytest.mark.parametrize("radius", [0, 3, 8])
-def test_all_pairs_are_those_of_every_two_documents(spark, radius):
-    r = random.Random(radius)
-    prints, ends = {}, []
-    for i in r.sample(range(1000), 300):
-        p = r.choice(ends) if ends and r.random() < 0.8 else r.getrandbits(64)
-        for _ in range(r.choice([0, 0, r.randrange(radius + 3)])):
-            p ^= 1 << r.randrange(64)
-        ends.append(p)
-        prints[i] = p - (1 << 64) if p >> 63 else p
-    rows = list(prints.items()) + [next(iter(prints.items())), (None, 5), (7000, None)]
-    want = {(a, b, prints[a], prints[b], n) for a, b in combinations(sorted(prints), 2) if (n := bin((prints[a] ^ prints[b]) & (1 << 64) - 1).count("1")) <= radius}
-    got = [tuple(x) for x in all_close_pairs(spark.createDataFrame(rows, "doc_id bigint, fingerprint bigint"), radius).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    assert len(want) > len(brute(prints, radius))
+    for wrong in ((-1, 3), (8, 0), (62, 3), (20, 20)):
+        with pytest.raises(ValueError):
+            tables(*wrong)
 
 
 def test_the_query_finds_near_copies_of_every_copy(spark, tmp_path):
@@ -103,5 +102,4 @@ def test_the_query_finds_near_copies_of_every_copy(spark, tmp_path):
         distance = distance if distance <= 8 else 0
     texts = [" ".join(x) for x in (base, base, base, far, far)]
     spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(x.doc_a, x.doc_b): x.distance for x in op9_simhash(spark, str(tmp_path)).collect()}
-    assert got == {(a, b): distance * (a < 3 <= b) for a, b in combinations(range(5), 2)}
+    assert found(op9_simhash(spark, str(tmp_path))) == {i: (0, 4) for i in range(5)}
