@@ -11,7 +11,9 @@ Defined cases: null and empty texts have statistics of 0 and are rejected (reaso
 "empty"). Null doc_ids are scored as any other row. Labels that are null, or whose
 doc_id is null or unknown, aren't used; of a doc_id that has several the least
 quality and the greatest toxic count. Repeated rows get equal scores. Extra columns
-stay. If only one class is labelled, or none, that model rejects nothing.
+stay. Very long texts are taken whole. A score equal to its limit rejects; labels of equal
+hashes are ordered by doc_id. An empty table has no scores. If only one class is labelled,
+or none, that model rejects nothing.
 """
 
 from __future__ import annotations
@@ -217,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_docs
     """max_rows bounds the labelled documents that are read. A word beginning marks toxic text if in at
     least least_docs documents of the first half, of which the share ``purity`` is toxic."""
     bounded_batches(docs.sparkSession)
-    own = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("label_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    own = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("label_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     own = own.where("quality is not null or toxic is not null").withColumn("half", F.xxhash64("label_id"))
     own = own.orderBy("half", "label_id").limit(max_rows)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("label_id"), F.col("text").cast("string").alias("text"))
@@ -279,7 +281,7 @@ def accepted(docs: DataFrame, rules: Rules, junk: float = 0.5, toxic: float = 0.
     """The documents that neither model rejects, with their own columns."""
     out = scored(docs, rules)
     score = out.columns[-1]
-    return out.where((F.col(score)["junk"] < junk) & (F.col(score)["toxic"] < toxic)).select(*docs.columns)
+    return out.where((F.col(score)["junk"] < junk) & (F.col(score)["toxic"] < toxic)).drop(score)
 
 
 def accepted_scores(docs: DataFrame, rules: Rules, junk: float = 0.5, toxic: float = 0.5) -> DataFrame:

@@ -17,7 +17,8 @@ conversation's rows are ordered by replies: each message, then its replies by tu
 Defined cases: a null or empty text stays as it is and quotes nothing; a null turn comes
 before all others; messages of one turn are ordered by role, then text, nulls first.
 A null conv_id has no conversation: each such message is position 0, and replies to
-none. Repeated rows are messages of their own. Extra columns are not read.
+none. Repeated rows are messages of their own. Very long texts are taken whole. An empty
+table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .spread import partitions
 
 _MARKS = regex.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$", regex.S)
-_WROTE = regex.compile(r"^[ \t]*\S.{0,300}\b(?:wrote|writes|schrieb|a écrit|escribió)[ \t]?:[ \t]*$", regex.I)
+_WROTE = regex.compile(r"^[ \t]*\S.*\b(?:wrote|writes|schrieb|a écrit|escribió)[ \t]?:[ \t]*$", regex.I)
 _BLANK = regex.compile(r"\n[ \t]*\n")
 
 
@@ -160,7 +161,7 @@ def reply_ordered(messages: DataFrame, least: int = 20) -> DataFrame:
         yield from done()
 
     # One task holds one conversation at a time; those without a conv_id go anywhere.
-    spread = with_links.repartition(partitions(messages.sparkSession), F.coalesce(F.xxhash64("conv_id"), F.xxhash64("own")), F.col("conv_id"))
+    spread = with_links.repartition(partitions(messages.sparkSession), F.when(F.col("conv_id").isNull(), F.xxhash64("own", "turn")).otherwise(F.xxhash64("conv_id")), F.col("conv_id"))
     return spread.sortWithinPartitions("conv_id", "turn", "role", "own").mapInArrow(run, f"conv_id bigint, position int, turn bigint, role string, text string, reply_position int, links array<{_LINK}>")
 
 

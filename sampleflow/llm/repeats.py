@@ -502,5 +502,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     kept = with_cut.withColumn(spare, F.when(changed, cut(F.when(changed, F.col("text")), F.when(changed, F.col(spare)))))
     kept = kept.where(F.col(spare).isNull() | (F.length(spare) > 0))
     text = F.coalesce(F.col(spare), F.col("text").cast("string"))
-    columns = {c: text if c.lower() == "text" else F.when(F.col(spare).isNotNull(), F.length(spare).cast("bigint")).otherwise(F.col(c)) if c.lower() == "n_chars" else F.col(c) for c in docs.columns}
+    own_name = lambda c: "`" + c.replace("`", "``") + "`"
+    columns = {c: text if c.lower() == "text" else F.when(F.col(spare).isNotNull(), F.length(spare).cast("bigint")).otherwise(F.col(own_name(c))) if c.lower() == "n_chars" else F.col(own_name(c)) for c in docs.columns}
     return kept.select(*(v.alias(c) for c, v in columns.items()))

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -104,3 +105,10 @@ def test_empty_tables_and_long_pages(spark):
     assert x.lang == "bb" and math.isclose(x.probability, 1)
     assert page_languages(spark, none, long).collect()[0].lang is None
     assert page_languages(spark, docs, long.where("page_id < 0")).collect() == []
+
+
+def test_odd_markup_takes_linear_time():
+    for page in ("<" * 2_000_000, "<html " * 300_000, "<html lang=" + " " * 2_000_000, "<!--" * 500_000, "<script" * 200_000):
+        began = time.perf_counter()
+        visible(page), declared(page)
+        assert time.perf_counter() - began < 5

@@ -89,3 +89,47 @@ def test_defined_cases(spark, tables):
             fit(docs, model, bad)
     long = spark.createDataFrame([(1, "grumble " * 300_000, None, None, None)], SCHEMA)
     assert rates(long, fit(long, model, {"quality 1, toxic 1": 1.0})).first().words == 300_000
+
+
+def descended(words, p, targets, floor=0.0, steps=20_000):
+    """Rates of least squares by plain projected gradient steps, as the brute-force answer."""
+    a = (p * (words / words.sum())[:, None]).T
+    inverse = np.linalg.inv(a @ p)
+    r = np.ones(len(words))
+    for _ in range(steps):
+        r = np.maximum(floor, r - p @ (inverse @ (a @ r - targets)))
+    return a @ r, r
+
+
+@pytest.mark.parametrize("targets", [{"quality 1, toxic 0": 1.0}, {"quality 0, toxic 0": 0.9, "quality 1, toxic 1": 0.1}])
+def test_rates_are_those_of_nonnegative_least_squares(tables, targets):
+    docs, known, _, _ = tables
+    found = fit(docs, train(docs, known), targets)
+    out = [x for x in rates(docs, found).collect() if x.words]
+    words, p = np.array([x.words for x in out], dtype=float), np.array([x.posterior for x in out])
+    totals, r = descended(words, p, found.targets)
+    assert np.abs(found.totals - totals).max() < 0.05
+    got = np.array([x.rate for x in out])
+    assert got.min() == r.min() == 0
+
+
+def test_keeping_all_keeps_every_document(spark, tables):
+    docs, known, rows, _ = tables
+    model = train(docs, known)
+    targets = {"quality 1, toxic 0": 0.5, "quality 1, toxic 1": 0.5}
+    more = fit(docs, model, targets, keep_all=True)
+    out = rates(docs, more).collect()
+    assert min(x.rate for x in out) >= 1 and min(x.copies for x in out) >= 1
+    now = fit(docs, model, {d: 1.0 for d in model.domains}, keep_all=True)
+    kept = {d: more.totals[k] for k, d in enumerate(model.domains)}
+    assert kept["quality 1, toxic 0"] == pytest.approx(kept["quality 1, toxic 1"], rel=0.05)
+    assert more.targets[0] == pytest.approx(kept["quality 0, toxic 0"], abs=5e-3) and now.totals.sum() > 1
+    unlisted = fit(docs, model, {"x": 1.0}, keep_all=True)
+    assert all(x.rate == 1 for x in rates(docs, unlisted).collect())
+
+
+def test_dotted_names_stay(spark, tables):
+    docs, known, _, _ = tables
+    odd = docs.withColumnRenamed("words", "a.b").withColumnRenamed("rate", "c`d")
+    found = fit(odd, train(odd, known), {"quality 1, toxic 0": 1.0}, keep_all=True)
+    assert mixed(odd, found).columns == odd.columns and mixed(odd, found).count() >= odd.count()

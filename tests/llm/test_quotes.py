@@ -111,3 +111,15 @@ def test_rewrapped_paragraphs_and_other_conversations(spark):
     ]
     got = {(x.conv_id, x.turn): [(k.conv_id, k.turn) for k in x.links] for x in reply_ordered(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, 0): [], (1, 1): [(1, 0)], (2, 0): [(3, 4)], (2, 1): [], (3, 4): [], (5, 2): []}
+
+
+def test_messages_without_a_conversation_are_spread(spark):
+    rows = [(None, i, "user", f"message {i}") for i in range(400)] + [(1, 0, "user", "hello there"), (1, 1, "user", "> hello there\nyes")]
+    out = reply_ordered(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    sizes = [len(p) for p in out.rdd.glom().collect()]
+    assert sum(sizes) == 402 and max(sizes) < 300
+
+
+def test_a_long_line_before_a_quotation_goes_with_it():
+    own, passages = parse("x" * 5000 + " wrote:\n> a\nb")
+    assert own == "b" and passages == [(1, ["a"])]

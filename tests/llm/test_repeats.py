@@ -139,6 +139,13 @@ def test_removal_keeps_rows_and_columns(spark):
             assert tuple(got[i])[:5] == rows[i]
 
 
+def test_odd_column_names_stay(spark):
+    text = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, 1, 2), (2, text + " and more", 3, 4)], "doc_id bigint, text string, `a.b` int, `c``d` int")
+    out = remove_spans(docs, suffix_repeats(docs))
+    assert out.columns == docs.columns and sorted(tuple(x) for x in out.collect()) == [(1, text, 1, 2), (2, "and more", 3, 4)]
+
+
 def test_empty_table_and_long_text(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert substring_repeats(empty).collect() == suffix_repeats(empty).collect() == []
