@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
@@ -198,23 +198,25 @@ _HELD_OF = (np.int64, np.int32, np.uint32, np.uint32)
 _RANK_OF = (np.uint32, np.uint64, np.uint8)
 
 
-def _sieve(keys: DataFrame) -> Column:
-    """Whether doc_id may be among the keys: it surely is not where this is false. A bit map of SIEVE_BITS,
-    whatever there is; it only spares the join that follows what it can do without."""
+def _sifted(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of rows (doc_id, text) those whose doc_id may be among the keys; the others surely aren't. A bit map of
+    SIEVE_BITS, whatever there is; it only spares the join that follows what it can do without."""
     bits = [F.pmod(F.xxhash64(F.col("doc_id"), F.lit(k)), F.lit(SIEVE_BITS)) for k in range(2)]
     each = keys.select(F.explode(F.array(*bits)).alias("bit")).select((F.col("bit") + 1).alias("bit"))
-    rows = each.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
+    maps = each.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
     found = np.zeros((SIEVE_BITS >> 15, 4096), dtype=np.uint8)
-    for r in rows:
+    for r in maps:
         found[r.part - 1] = np.frombuffer(r.map, dtype=np.uint8)
     packed = found.ravel()
 
-    @F.arrow_udf("boolean")
-    def may(a: pa.Array, b: pa.Array) -> pa.Array:
-        a, b = a.to_numpy(), b.to_numpy()
-        return pa.array((packed[a >> 3] >> (a & 7) & packed[b >> 3] >> (b & 7) & 1).astype(bool))
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(k).to_numpy() for k in (2, 3))
+            keep = (packed[a >> 3] >> (a & 7).astype(np.uint8)) & (packed[b >> 3] >> (b & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(keep.astype(bool))).select(["doc_id", "text"])
+        flat.release()
 
-    return may(*bits)
+    return rows.select("doc_id", "text", bits[0].alias("a"), bits[1].alias("b")).mapInArrow(may, "doc_id bigint, text string")
 
 
 def _places(docs: DataFrame, found: Table, base: int, min_words: int, width: int) -> Table:
@@ -222,7 +224,7 @@ def _places(docs: DataFrame, found: Table, base: int, min_words: int, width: int
     ``width`` words that begin there, by their document's bucket."""
     n = partitions(docs.sparkSession)
     hits = found.df.where("hit is not null").groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
-    rows = _identified(docs).where(_sieve(hits.select("doc_id"))).join(hits, "doc_id").select("doc_id", "text", "hits")
+    rows = _sifted(_identified(docs), hits.select("doc_id")).join(hits, "doc_id").select("doc_id", "text", "hits")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -160,7 +160,13 @@ def kinds(batches: Iterator[pa.RecordBatch], known: dict[int, tuple[type, ...]],
             fields = [unplanes(batch.column(2 + k)[i].as_py(), t) for k, t in enumerate(types)]
             for into, a in zip(parts[int(kind[i])], (*fields, np.full(len(fields[0]), batch.column(0)[i].as_py(), np.int32))):
                 into.append(a)
-    yield {k: [np.concatenate(a) for a in fields] for k, fields in parts.items()}
+    out: dict[int, list[np.ndarray]] = {}
+    for k, fields in parts.items():
+        out[k] = []
+        while fields:  # so that a field's parts are free before the next field is joined
+            out[k].append(np.concatenate(fields.pop(0)))
+    flat.release()
+    yield out
 
 
 def exchange(df: DataFrame, n: int) -> DataFrame:
