@@ -225,12 +225,6 @@ def ensure_bos_eos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sized(_talk(spark, sf_dir).ensure_bos_eos(BytesTokenizer(begins=True)), "input_ids")
 
 
-@query(f"with {_TALK} select pos, array_to_string(list_resize(ids[:32], 32, {PAD}), ',') as input_ids, 32::bigint as n from c")
-def pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = _talk(spark, sf_dir).map({"input_ids": F.slice("input_ids", 1, 32)})
-    return _sized(short.pad({"input_ids": PAD}, 32), "input_ids")
-
-
 @query(f"with {_TALK}, k as (select pos, ids, unnest(range((len(ids) + 31) // 32)) as k from c) select row_number() over (order by pos, k) - 1 as pos, array_to_string(list_resize(ids[k * 32 + 1 : k * 32 + 32], 32, {PAD}), ',') as input_ids, 32::bigint as n from k")
 def pad_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole messages, in pieces of 32 of which the last is filled up."""
