@@ -10,8 +10,10 @@ changes, and resuming is a filter on positions.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
+import types
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from typing import Any
 
@@ -29,6 +31,45 @@ Build = Callable[[int | None], DataFrame]
 Row = dict[str, Any]
 
 
+def told(x: Any, depth: int = 6) -> str:
+    """What tells a function, an expression or a tokenizer from others, alike in every process: code with its
+    constants and what it closes over, attributes, and elements; not what a global name stands for."""
+    if x is None or isinstance(x, (bool, int, float, complex, str, bytes, Column)):
+        return f"{type(x).__name__}:{x!r}" if not isinstance(x, Column) else str(x)
+    name = f"{type(x).__module__}.{getattr(x, '__qualname__', type(x).__qualname__)}"
+    if depth == 0:
+        return name
+    inner: list[Any]
+    if isinstance(x, Mapping):
+        return name + "{" + ",".join(sorted(f"{told(k, depth - 1)}={told(v, depth - 1)}" for k, v in x.items())) + "}"
+    if isinstance(x, (set, frozenset)):
+        return name + "{" + ",".join(sorted(told(v, depth - 1) for v in x)) + "}"
+    if isinstance(x, (list, tuple)):
+        inner = list(x)
+    elif isinstance(x, types.CodeType):
+        inner = [x.co_code, x.co_names, x.co_varnames, x.co_consts]
+    elif isinstance(x, types.FunctionType):
+        inner = [x.__code__, x.__defaults__, x.__kwdefaults__, [_content(c) for c in x.__closure__ or ()]]
+    elif isinstance(x, types.MethodType):
+        inner = [x.__func__, x.__self__]
+    elif isinstance(x, functools.partial):
+        inner = [x.func, x.args, x.keywords]
+    elif hasattr(x, "tobytes"):
+        inner = [str(getattr(x, "dtype", "")), str(getattr(x, "shape", "")), x.tobytes()]
+    elif isinstance(x, type) or not hasattr(x, "__dict__"):
+        inner = []
+    else:
+        inner = [{k: v for k, v in vars(x).items() if not callable(v)}]
+    return name + "(" + ",".join(told(v, depth - 1) for v in inner) + ")"
+
+
+def _content(cell: types.CellType) -> Any:
+    try:
+        return cell.cell_contents
+    except ValueError:  # not yet assigned
+        return None
+
+
 class Dataset:
     def __init__(self, build: Build, name: str, finite: bool = True):
         self._build, self.name, self.finite = build, name, finite
@@ -77,20 +118,20 @@ class Dataset:
     def map(self, fn: Callable[[Row], Row | None] | Mapping[str, Column | str], schema: str | T.StructType | None = None) -> Dataset:
         """Column expressions, or a Python function of the row; rows for which that gives None go."""
         if isinstance(fn, Mapping):
-            return self._each(lambda df: rows.map_columns(df, fn), f"map[{sorted(fn)}]")
+            return self._each(lambda df: rows.map_columns(df, fn), f"map[{told(fn)}]")
         return self.filter_map(fn, schema)
 
     def filter_map(self, fn: Callable[[Row], Row | None], schema: str | T.StructType | None = None) -> Dataset:
-        return self._some(lambda df, _: dense(rows.filter_map(df, fn, schema)), f"filter_map[{getattr(fn, '__qualname__', fn)}]")
+        return self._some(lambda df, _: dense(rows.filter_map(df, fn, schema)), f"filter_map[{told(fn)}]")
 
     def filter(self, keep: Column | str | Callable[[Row], Any]) -> Dataset:
-        return self._some(lambda df, _: dense(rows.where(df, keep)), f"filter[{getattr(keep, '__qualname__', keep)}]")
+        return self._some(lambda df, _: dense(rows.where(df, keep)), f"filter[{told(keep)}]")
 
     def parallel_map(self, fn: Callable[[Row], Row], schema: str | T.StructType | None = None, max_workers: int | None = None, prefetch_factor: int = 10, ordered: bool = True, executor_type: str = "process") -> Dataset:
         """Spark's tasks are the workers; the arguments after the schema are checked and otherwise of no effect. The result is always ordered."""
         _check_workers(max_workers, prefetch_factor, executor_type)
         strict = rows.strict(fn)
-        return self._each(lambda df: rows.filter_map(df, strict, schema), f"parallel_map[{getattr(fn, '__qualname__', fn)}]")
+        return self._each(lambda df: rows.filter_map(df, strict, schema), f"parallel_map[{told(fn)}]")
 
     def parallel_filter(self, keep: Column | str | Callable[[Row], Any], max_workers: int | None = None, prefetch_factor: int = 10, ordered: bool = True, executor_type: str = "process") -> Dataset:
         _check_workers(max_workers, prefetch_factor, executor_type)
@@ -130,7 +171,7 @@ class Dataset:
         if batch_size < 1:
             raise ValueError("a batch has at least 1 row")
         build = lambda limit: ordering.batch(self.to_df(None if limit is None or self.finite else limit * batch_size), batch_size, collate_fn, drop_last, schema)
-        return Dataset(build, f"batch[{batch_size},{drop_last},{getattr(collate_fn, '__qualname__', '')}]({self.name})", self.finite)
+        return Dataset(build, f"batch[{batch_size},{drop_last},{told(collate_fn)}]({self.name})", self.finite)
 
     # Tokens
 
@@ -142,7 +183,7 @@ class Dataset:
         def fn(row: Row) -> Row:
             return {**row, **tokenizer(row[target_column], **options)}
 
-        return self._each(lambda df: rows.filter_map(df, fn, schema), f"tokenize[{target_column}]")
+        return self._each(lambda df: rows.filter_map(df, fn, schema), f"tokenize[{target_column},{told(tokenizer)},{told(options)}]")
 
     def add_bos_eos(self, bos_token_id: int | None, eos_token_id: int | None, target_column: str = "input_ids") -> Dataset:
         return self._each(lambda df: tokens.add_ends(df, bos_token_id, eos_token_id, target_column), f"ends[{bos_token_id},{eos_token_id},{target_column}]")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..order import POS, data_columns, in_order, ordered_scan
-from .rows import Row, as_schema, record_batch, schema_of, with_pos
+from .rows import Row, as_schema, nothing_lost, record_batch, schema_of, with_pos
 
 
 def numbered(df: DataFrame, column: str = "step") -> DataFrame:
@@ -49,6 +49,7 @@ def batch(df: DataFrame, size: int, collate: Callable[[list[Row]], Row] | None =
         if drop_last:
             out = out.where(F.col("__n") == size)
         return out.drop("__n").withColumnRenamed("__batch", POS)
+    probed = schema is None
     if schema is None:
         first = [r.asDict(recursive=True) for r in df.where(F.col(POS) < size).orderBy(POS).select(*data_columns(df)).collect()]
         schema = schema_of([collate(first)]) if first else "empty string"
@@ -61,6 +62,8 @@ def batch(df: DataFrame, size: int, collate: Callable[[list[Row]], Row] | None =
             r.pop("__batch", None)
             r.pop(POS)
         found = [] if drop_last and len(rows) < size else [{**collate(rows), POS: number}]
+        if probed:
+            found = [nothing_lost(r, out_schema) for r in found]
         return pa.Table.from_batches([record_batch(found, out_schema)])
 
     return grouped.groupBy("__batch").applyInArrow(run, out_schema)

@@ -108,6 +108,27 @@ def with_pos(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(POS, T.LongType()), *(f for f in schema if f.name != POS)])
 
 
+def unknown(value: Any, kind: T.DataType, at: str = "") -> str | None:
+    """The first key of a Python value, or of a dictionary within it, that its schema lacks."""
+    if isinstance(kind, T.StructType) and isinstance(value, Mapping):
+        fields = {f.name: f.dataType for f in kind}
+        for k, v in value.items():
+            found = unknown(v, fields[k], f"{at}{k}.") if k in fields else f"{at}{k}"
+            if found:
+                return found
+    if isinstance(kind, T.ArrayType) and isinstance(value, (list, tuple)) and isinstance(kind.elementType, (T.ArrayType, T.StructType)):
+        return next(filter(None, (unknown(v, kind.elementType, at) for v in value)), None)
+    return None
+
+
+def nothing_lost(row: Row, schema: T.StructType) -> Row:
+    """The row, or an error where a probed schema would lose one of its keys."""
+    lost = unknown(row, schema)
+    if lost:
+        raise ValueError(f"{lost} isn't among the keys of the first results: give a schema")
+    return row
+
+
 def probe(df: DataFrame, fn: Callable[[Row], Row | None], rows: int = 100) -> T.StructType:
     """The schema of what ``fn`` gives for the first rows; those where it gives nothing count as nothing."""
     first = [r.asDict(recursive=True) for r in df.where(F.col(POS) < rows).orderBy(POS).select(*data_columns(df)).collect()]
@@ -115,7 +136,9 @@ def probe(df: DataFrame, fn: Callable[[Row], Row | None], rows: int = 100) -> T.
 
 
 def filter_map(df: DataFrame, fn: Callable[[Row], Row | None], schema: str | T.StructType | None = None) -> DataFrame:
-    """fn's rows, without those for which it gives None. The schema is that of its first results unless given."""
+    """fn's rows, without those for which it gives None. The schema is that of its first results unless given;
+    then a key that only occurs later is an error. Keys that a given schema lacks are left out."""
+    probed = schema is None
     out = with_pos(as_schema(schema) if schema is not None else probe(df, fn))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +148,8 @@ def filter_map(df: DataFrame, fn: Callable[[Row], Row | None], schema: str | T.S
                 pos = row.pop(POS)
                 new = fn(row)
                 if new is not None:
-                    found.append({**new, POS: pos})
+                    row = {**new, POS: pos}
+                    found.append(nothing_lost(row, out) if probed else row)
             yield record_batch(found, out)
 
     return df.mapInArrow(run, out)

@@ -53,8 +53,10 @@ def from_keys(df: DataFrame, *keys: str) -> DataFrame:
     if n and low is not None and high - low + 1 == n and df.select(keys[0]).where(f"{keys[0]} is null").isEmpty() and len(keys) == 1:
         if df.groupBy(keys[0]).count().where("count > 1").isEmpty():
             return df.withColumn(POS, (F.col(keys[0]) - F.lit(low)).cast("bigint"))
-    width = max(1, (0 if low is None else high - low) * BLOCK // max(n, 1))
-    place = F.coalesce(F.floor((F.col(keys[0]) - F.lit(low or 0)) / width).cast("bigint"), F.lit(-1))
+    # Keys may span all of a bigint: their differences don't fit, quotients by 2 or more do, with room for the nulls' block.
+    width = min(max(2, (0 if low is None else high - low) * BLOCK // max(n, 1)), 1 << 62)
+    nulls = -(abs(low or 0) // width) - 2
+    place = F.coalesce(F.expr(f"cast(`{keys[0]}` as bigint) div {width}L"), F.lit(nulls).cast("bigint"))
     blocked = df.withColumn("__block", place)
     offsets = _block_offsets(blocked.groupBy("__block").agg(F.count(F.lit(1)).alias("n")), "n")
     rank = F.row_number().over(Window.partitionBy("__block").orderBy(*keys)) - 1

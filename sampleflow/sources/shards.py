@@ -13,7 +13,9 @@ import base64
 import bz2
 import datetime
 import gzip
+import http.client
 import io
+import itertools
 import json
 import lzma
 import math
@@ -21,6 +23,8 @@ import os
 import random
 import re
 import time
+import urllib.error
+import zlib
 from collections import deque
 from collections.abc import Iterator, Sequence
 from typing import Any, BinaryIO
@@ -36,6 +40,9 @@ from ..operators.rows import as_schema, merged, settled, type_of
 from ..order import POS
 from . import cbor
 
+#: How often a shard is opened without a row gained before its reading fails, and the seconds between: each wait
+#: is twice the one before, up to the greatest.
+TRIES, FIRST_WAIT, GREATEST_WAIT = 10, 1.0, 60.0
 #: Bad JSON lines in a row that end the reading of a shard.
 BAD_LINES = 10
 _RANGE = re.compile(r"^(-?\d+|[A-Za-z])\.\.(-?\d+|[A-Za-z])(?:\.\.(-?\d+))?$")
@@ -162,13 +169,33 @@ def wait_turn(url: str) -> None:
     _LAST_OPEN[scheme] = time.monotonic()
 
 
+class _Whole(io.RawIOBase):
+    """An HTTP body that ends early is an error, not an end."""
+
+    def __init__(self, response: http.client.HTTPResponse):
+        self.response = response
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer: Any) -> int:
+        n = self.response.readinto(buffer)
+        if not n and len(buffer) and self.response.length:
+            raise ConnectionError(f"{self.response.length} bytes of the body are missing")
+        return n
+
+    def close(self) -> None:
+        self.response.close()
+        super().close()
+
+
 def opened(url: str) -> BinaryIO:
     wait_turn(url)
     scheme = urlsplit(url).scheme
     if scheme in ("http", "https"):
         import urllib.request
 
-        return decompressed(urllib.request.urlopen(url), url)
+        return decompressed(io.BufferedReader(_Whole(urllib.request.urlopen(url))), url)
     return decompressed(open(url[7:] if url.startswith("file://") else url, "rb"), url)
 
 
@@ -176,6 +203,33 @@ def rows_of(f: BinaryIO, kind: str) -> Iterator[dict[str, Any]]:
     return jsonl_rows(f) if kind == "jsonl" else cbor_rows(f)
 
 
+def _passing(error: Exception) -> bool:
+    """Whether another try may go better: not for what isn't there, isn't allowed or doesn't parse."""
+    if isinstance(error, urllib.error.HTTPError):
+        return error.code in (408, 429) or error.code >= 500
+    if isinstance(error, (FileNotFoundError, PermissionError, IsADirectoryError, NotADirectoryError)):
+        return False
+    return isinstance(error, (OSError, EOFError, http.client.HTTPException, zlib.error, lzma.LZMAError))
+
+
+def steady_rows(url: str, kind: str) -> Iterator[dict[str, Any]]:
+    """A shard's rows. Where reading breaks off it is opened again and the rows already given are skipped."""
+    given, failed, wait = 0, 0, FIRST_WAIT
+    while True:
+        try:
+            with opened(url) as f:
+                for row in itertools.islice(rows_of(f, kind), given, None):
+                    given, failed, wait = given + 1, 0, FIRST_WAIT
+                    yield row
+            return
+        except Exception as error:
+            failed += 1
+            if failed >= TRIES or not _passing(error):
+                raise
+            time.sleep(wait)
+            wait = min(2 * wait, GREATEST_WAIT)
+
+
 def as_json(value: Any) -> Any:
     if isinstance(value, bytes):
         return base64.b64encode(value).decode()
@@ -214,8 +268,7 @@ class _Reader(DataSourceReader):
         return [_Shard(k, u, format_of(u, self.declared)) for k, u in enumerate(self.urls)]
 
     def read(self, partition: _Shard) -> Iterator[pa.RecordBatch]:  # type: ignore[override]
-        with opened(partition.url) as f:
-            yield from _payloads(partition.number, rows_of(f, partition.kind))
+        yield from _payloads(partition.number, steady_rows(partition.url, partition.kind))
 
 
 class ShardSource(DataSource):

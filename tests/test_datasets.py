@@ -1,10 +1,13 @@
 """Literal cases and small models of every operator, resuming, sources without an end, and files."""
 
+import functools
 import gzip
 import itertools
 import json
 import random
 import struct
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +16,8 @@ from sampleflow.dataset import concat_datasets, from_df, from_files, from_iterab
 from sampleflow.operators.combine import slots
 from sampleflow.operators.ordering import buffer_order
 from sampleflow.operators.tokens import packs
-from sampleflow.order import POS
+from sampleflow.order import POS, from_keys
+from sampleflow.sources import shards
 from sampleflow.sources.shards import epoch_orders, expand_braces, format_of, jsonl_rows, segments
 from sampleflow.tokenizers import BytesTokenizer
 
@@ -240,3 +244,85 @@ def test_mds(spark, tmp_path):
     assert column(d) == [0, 1, 2] and column(d, "text") == ["a", "bc", ""]
     assert column(from_mds(str(tmp_path), repeat=True), n=5) == [0, 1, 2, 0, 1]
     assert POS in d.to_df().columns
+
+
+def test_keys_over_the_whole_range(spark):
+    low, high = -(2**63), 2**63 - 1
+    for keys in ([low, 5, high], [low, low + 1, low + 2, None, None], [high, high - 1, high, 0], [None], [], [-3, -1, 0, 1, 3, None]):
+        df = from_keys(spark.createDataFrame([(k,) for k in keys], "k bigint"), "k")
+        found = [(r[POS], r.k) for r in df.orderBy(POS).collect()]
+        assert found == list(enumerate(sorted(keys, key=lambda k: (k is not None, k or 0)))), keys
+    many = [random.Random(7).randrange(low, high) for _ in range(3000)]
+    assert [r.k for r in from_keys(spark.createDataFrame([(k,) for k in many], "k bigint"), "k").orderBy(POS).collect()] == sorted(many)
+
+
+def test_a_key_that_occurs_late_is_not_lost(spark):
+    def late(r):
+        return {"id": r["id"], "deep": {"a": 1, **({"b": 2} if r["id"] == 150 else {})}}
+
+    with pytest.raises(Exception, match="deep.b isn't among"):
+        column(ids(200).map(late))
+    with pytest.raises(Exception, match="extra isn't among"):
+        column(ids(20).batch(5, collate_fn=lambda rows: {"n": len(rows), **({"extra": 1} if rows[0]["id"] else {})}), "n")
+    given = ids(200).map(late, "id bigint, deep struct<a: bigint, b: bigint>")
+    assert [r["deep"]["b"] for r in given] == [2 if i == 150 else None for i in range(200)]
+    assert column(ids(200).map(late, "id bigint")) == list(range(200))  # what a given schema leaves out goes
+
+
+def scaled(k):
+    return lambda r: {"id": r["id"] * k}
+
+
+def test_plans_that_differ_have_unlike_states(spark):
+    d = ids(4)
+    plans = [d.map({"id": F.col("id") * 2}), d.map({"id": F.col("id") * 3}), d.map({"id": "id * 2"}), d.map(scaled(2)), d.map(scaled(3)),
+             d.map(lambda r: {"id": r["id"] + 1}), d.map(lambda r: {"id": r["id"] + 2}), d.filter(F.col("id") > 1), d.filter(F.col("id") > 2),
+             d.filter(lambda r: r["id"] in {1, 2}), d.filter(lambda r: r["id"] in {1, 3}), d.map(functools.partial(dict, a=1)), d.map(functools.partial(dict, a=2)),
+             d.tokenize(BytesTokenizer()), d.tokenize(BytesTokenizer(begins=True)), d.tokenize(BytesTokenizer(), {"a": 1})]
+    assert len({p.state(0)["plan"] for p in plans}) == len(plans)
+    assert d.map(scaled(2)).state(0) == plans[3].state(0)
+    assert d.tokenize(BytesTokenizer()).state(0) == plans[13].state(0)
+    with pytest.raises(ValueError):
+        plans[0].iterate(plans[1].state(1))
+
+
+def test_a_shard_whose_connection_drops_is_read_on(monkeypatch):
+    body = b"".join(b'{"id": %d}\n' % i for i in range(2000))
+    asked = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            if self.path == "/none.jsonl" or len(asked) == 2:
+                self.send_error(404 if self.path == "/none.jsonl" else 503)
+                return
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body if len(asked) == 4 else body[: 8000 * len(asked)])
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setattr(shards, "FIRST_WAIT", 0.0)
+    monkeypatch.setenv("SAMPLEFLOW_OPEN_DELAY_HTTP", "0")
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        cut = at + "/a.jsonl"
+        assert [r["id"] for r in shards.steady_rows(cut, "jsonl")] == list(range(2000)) and len(asked) == 4
+        with pytest.raises(OSError):
+            list(shards.steady_rows(at + "/none.jsonl", "jsonl"))
+        assert len(asked) == 5  # what isn't there is asked for once
+    finally:
+        server.shutdown()
+
+
+def test_shards_that_fail_for_good(tmp_path, monkeypatch):
+    tries = []
+    monkeypatch.setattr(shards, "FIRST_WAIT", 0.0)
+    monkeypatch.setattr(shards, "opened", lambda url: tries.append(url) or (_ for _ in ()).throw(ConnectionError("gone")))
+    with pytest.raises(ConnectionError):
+        list(shards.steady_rows("x.jsonl", "jsonl"))
+    assert len(tries) == shards.TRIES
