@@ -4,12 +4,16 @@ A classifier trained on a labelled table gives each document a posterior over th
 domains, which are the combinations of the label columns that occur ("quality 1,
 toxic 0"). Document i with t words and posterior p adds rate * t * p[d] expected
 words to domain d; nonnegative rates are fitted so that the domains' totals meet the
-targets: least squares by projected gradient from rates of 1, whitened by the inverse
-of the sum of t * p p', so that one step is exact unless a rate meets 0, and scaled by
-1 / t, so that a rate depends on the posterior and not on the length. Each
-step sums over all documents in Spark; what a step needs of the former ones is a few
-numbers a domain, so a document's rate follows from its text alone, and applying the
-rates needs neither a join nor a shuffle.
+targets. Of the rates that do, those are taken that are nearest to 1 (least sum of
+t * (rate - 1) ** 2, so that a rate depends on the posterior and not on the length).
+If none do, those with the least squared miss, whitened by the inverse of the sum of
+t * p p', plus ``closeness`` times that distance from 1: the squared miss alone would
+be least for a few documents repeated very often.
+
+Either way the rate is max(0, 1 - p . g) for one number g[d] a domain, found by Newton's
+method on the dual, which is convex. Each step sums over all documents in Spark and
+takes a few numbers there; a document's rate follows from its text alone, and applying
+the rates needs neither a join nor a shuffle.
 
 The classifier is naive Bayes over word beginnings, word ends and doubled words, put
 through softmax regression. ``max_rows`` bounds the labelled documents that it reads
@@ -26,7 +30,7 @@ whole. Equal posteriors get equal rates. An empty table has no rows. Extra colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -169,13 +173,63 @@ class Fit:
         return np.where(words > 0, r, 1.0)
 
 
-def fit(docs: DataFrame, classifier: Classifier | None, targets: Mapping[str, float], keep_all: bool = False, tolerance: float = 1e-4, least_gain: float = 1e-3) -> Fit:
+class Sums:
+    """Over all rows, with the rates of a point g: half the sum of t * rate ** 2, the sums of t * rate * x and, where the
+    rate is above 0, of t * x x', and the least x . g. x is the posterior in a basis, t the share of all words."""
+
+    def __init__(self, sums: np.ndarray, least: float):
+        k = int(len(sums) ** 0.5)
+        self.half, self.totals, self.active, self.least = float(sums[0]), sums[1 : k + 1], sums[k + 1 :].reshape(k, k), least
+
+
+def sums_at(rows: DataFrame, scale: float, basis: np.ndarray, points: np.ndarray) -> list[Sums]:
+    """The sums at each of the points, in one pass over the rows (words, posterior). What is sent to the tasks are the arguments alone."""
+    n, k = points.shape
+    width = 1 + k + k * k
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, least = np.zeros((n, width)), np.full(n, np.inf)
+        for batch in batches:
+            words, *p = (x.to_numpy() for x in batch.columns)
+            t, x = words / scale, np.column_stack(p) @ basis
+            for i, g in enumerate(points):
+                along = x @ g
+                r = np.maximum(0.0, 1.0 - along)
+                y, u = x[r > 0], t[r > 0]
+                sums[i] += np.concatenate([[t @ (r * r) / 2], (t * r) @ x, ((u[:, None] * y).T @ y).ravel()])
+                least[i] = min(least[i], along.min(initial=np.inf))
+        yield pa.RecordBatch.from_pydict({"at": np.arange(n * width + n, dtype=np.int32), "x": np.concatenate([sums.ravel(), least])})
+
+    got = {r.at: r for r in rows.mapInArrow(add, "at int, x double").groupBy("at").agg(F.sum("x").alias("x"), F.min("x").alias("least")).collect()}
+    return [Sums(np.array([got[i * width + j].x for j in range(width)]), got[n * width + i].least) for i in range(n)]
+
+
+def nearest(sums: Callable[[np.ndarray], list[Sums]], goal: np.ndarray, closeness: float, point: np.ndarray, here: Sums) -> tuple[np.ndarray, Sums]:
+    """The least of half the sum of t * rate ** 2, plus goal . g, plus closeness / 2 * g . g, by Newton's method from ``point``, and
+    its sums; there, totals - goal = closeness * g. ``sums`` sees steps of several sizes at once."""
+    value = lambda g, s: s.half + goal @ g + closeness / 2 * (g @ g)
+    while True:
+        now, slope = value(point, here), goal - here.totals + closeness * point
+        step = -np.linalg.solve(here.active + closeness * np.eye(len(goal)), slope)
+        gain = -(slope @ step)
+        if gain <= max(1e-10, 1e-14 * abs(now)):
+            return point, here
+        sizes, found = 2.0 ** -np.arange(12), None
+        while found is None:
+            if sizes[0] < 1e-12:  # less than rounding can tell
+                return point, here
+            tried = point + sizes[:, None] * step
+            found = next(((g, s) for size, g, s in zip(sizes, tried, sums(tried)) if value(g, s) <= now - 1e-4 * size * gain), None)
+            sizes = sizes / 2.0**12
+        point, here = found
+
+
+def fit(docs: DataFrame, classifier: Classifier | None, targets: Mapping[str, float], keep_all: bool = False, tolerance: float = 1e-4, closeness: float = 1e-3) -> Fit:
     """Rates for the documents; ``targets`` are the domains' shares of the words there are. keep_all: rates
     that come out below 1 are raised to it, and the targets are of as many more words as it takes for no domain to shrink, and 1
-    in 1000 on top; domains without a target keep the words they have. The steps end when the totals
-    are within the tolerance of the targets, or when a step takes less than ``least_gain`` of the squared miss
-    away: then no rates come much closer (``met`` is False; where a target can't be met, totals of the test
-    corpus were within 0.05 of those that least squares comes to in the end)."""
+    in 1000 on top; domains without a target keep the words they have. ``closeness`` weighs the distance from 1 against the
+    squared miss. It is lowered until the totals are within the tolerance of the targets, or until it is proved that those of no rates
+    are (or it is under 1e-12, with neither): then ``met`` is False, and the rates are those of the closeness given."""
     if any(w < 0 for w in targets.values()) or sum(targets.values()) <= 0:
         raise ValueError("targets must be nonnegative, and not all 0")
     if classifier is None:
@@ -192,50 +246,43 @@ def fit(docs: DataFrame, classifier: Classifier | None, targets: Mapping[str, fl
                 yield pa.RecordBatch.from_arrays([pa.array(c.counts.astype(np.float64)), *(pa.array(x) for x in classifier.posterior(c).T)], names=["words", *(f"p{d}" for d in range(k))])
 
     narrow = table(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(measure, "words double, " + ", ".join(f"p{d} double" for d in range(k))))
-    rows = narrow.df.select("words", *(f"p{d}" for d in range(k)))
+    rows = narrow.df.select("words", *(f"p{d}" for d in range(k))).where("words > 0")
     total = rows.agg(F.sum("words")).first()[0] or 0.0
     if total == 0:
         narrow.drop()
         return Fit(classifier, 1.0, [], np.zeros(k), np.zeros(k))
     out = Fit(classifier, float(total), [], np.zeros(k), want / max(want.sum(), 1e-300))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of rate * t * p and of t * p p', over all rows and over those of a rate above 0."""
-        sums = np.zeros((2 * k + 1, k))
-        for batch in batches:
-            words, *p = (x.to_numpy() for x in batch.columns)
-            p = np.column_stack(p)
-            a, r = p * (words / out.scale)[:, None], out.rates(words, p)
-            sums[0] += r @ a
-            sums[1 : k + 1] += a.T @ p
-            sums[k + 1 :] += a[r > 0].T @ p[r > 0]
-        yield pa.RecordBatch.from_pydict({"at": np.arange(sums.size, dtype=np.int32), "x": sums.ravel()})
-
-    now, last = np.inf, ""
+    start = sums_at(rows, out.scale, np.eye(k), np.zeros((1, k)))[0]
+    out.totals = start.totals
+    if keep_all:
+        share = out.targets * (1 - out.totals[want <= 0].sum())
+        more = 1.001 * (out.totals / np.where(want > 0, np.maximum(share, 1e-300), np.inf)).max()
+        out.targets = np.where(want > 0, share * more, out.totals)
+    # A basis in which the sum of t * x x' is 1, of the directions in which there are words.
+    size, vectors = np.linalg.eigh(start.active)
+    there = size > 1e-12 * size.sum()
+    basis, back = vectors[:, there] / np.sqrt(size[there]), vectors[:, there] * np.sqrt(size[there])
+    goal = out.targets @ basis
+
+    def proved(point: np.ndarray, s: Sums) -> bool:
+        """Whether no rates meet the targets: for a u with p . u >= 0 for all rows, u . totals >= 0 whatever the rates."""
+        u = basis @ point - s.least
+        return -(u @ out.targets) > tolerance * np.abs(u).sum()
+
+    point = np.zeros(len(goal))
+    here, answer = Sums(np.concatenate([[start.half], start.totals @ basis, (basis.T @ start.active @ basis).ravel()]), 0.0), None
     while True:
-        got = rows.mapInArrow(add, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
-        sums = np.array([x.x for x in got]).reshape(2 * k + 1, k)
-        whole, active = (g + 1e-12 * np.trace(g) * np.eye(k) for g in (sums[1 : k + 1], sums[k + 1 :]))
-        out.totals = sums[0]
-        if keep_all and not out.steps:
-            share = out.targets * (1 - out.totals[want <= 0].sum())
-            more = 1.001 * (out.totals / np.where(want > 0, np.maximum(share, 1e-300), np.inf)).max()
-            out.targets = np.where(want > 0, share * more, out.totals)
-        before, now = now, float((out.totals - out.targets) @ np.linalg.solve(whole, out.totals - out.targets))
-        small = now > before * (1 - least_gain)
-        if last == "active" and small:  # taken back for a step that can't overshoot
-            out.steps[-1], now, last = safe, before, "whole"
-            continue
-        miss = out.totals - out.targets
-        out.met = bool(np.abs(miss).max() <= tolerance)
-        if out.met or (last == "whole" and small):
-            narrow.drop()
-            out.floor = float(keep_all)
-            return out
-        # Whitened by the rows that can move, if that helps, or by all of them.
-        safe = np.linalg.solve(whole, miss)
-        last = "active" if np.trace(active) > 1e-9 and not np.allclose(active, whole) else "whole"
-        out.steps.append(np.linalg.solve(active, miss) if last == "active" else safe)
+        point, here = nearest(lambda points: sums_at(rows, out.scale, basis, points), goal, closeness, point, here)
+        totals = back @ here.totals
+        out.met = bool(np.abs(totals - out.targets).max() <= tolerance)
+        if out.met or answer is None:
+            answer = basis @ point, totals
+        if out.met or proved(point, here) or closeness < 1e-12:
+            break
+        closeness /= 100
+    out.steps, out.totals, out.floor = [answer[0]] * bool(answer[0].any()), answer[1], float(keep_all)
+    narrow.drop()
+    return out
 
 
 def measured(text: Column, found: Fit) -> Column:

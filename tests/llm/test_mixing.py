@@ -133,3 +133,48 @@ def test_dotted_names_stay(spark, tables):
     odd = docs.withColumnRenamed("words", "a.b").withColumnRenamed("rate", "c`d")
     found = fit(odd, train(odd, known), {"quality 1, toxic 0": 1.0}, keep_all=True)
     assert mixed(odd, found).columns == odd.columns and mixed(odd, found).count() >= odd.count()
+
+
+def penalized(words, p, targets, closeness, steps=3000):
+    """Rates of the least squared miss plus closeness times the squared distance from 1, by accelerated gradient steps."""
+    t = words / words.sum()
+    a = (p * t[:, None]).T
+    inverse = np.linalg.inv(a @ p)
+    r = y = np.ones(len(words))
+    speed = (1 - closeness**0.5) / (1 + closeness**0.5)
+    for _ in range(steps):
+        new = np.maximum(0, y - (p @ (inverse @ (a @ y - targets)) + closeness * (y - 1)) / (1 + closeness))
+        r, y = new, new + speed * (new - r)
+    return r
+
+
+def test_rates_where_no_rates_meet_the_targets(tables):
+    docs, known, _, _ = tables
+    found = fit(docs, train(docs, known), {"quality 1, toxic 0": 1.0})
+    assert not found.met
+    out = [x for x in rates(docs, found).collect() if x.words]
+    words, p = np.array([x.words for x in out], dtype=float), np.array([x.posterior for x in out])
+    r = penalized(words, p, found.targets, 1e-3)
+    assert np.allclose([x.rate for x in out], r, atol=1e-3)
+    assert np.allclose(found.totals, (p * (words / words.sum())[:, None]).T @ r, atol=1e-4)
+
+
+def test_targets_of_a_few_documents_are_met(tables):
+    docs, known, _, _ = tables
+    model = train(docs, known)
+    out = [x for x in rates(docs, fit(docs, model, {"quality 1, toxic 0": 1.0})).collect() if x.words]
+    words, p = np.array([x.words for x in out], dtype=float), np.array([x.posterior for x in out])
+    pure = words * (p[:, 1] >= np.quantile(p[:, 1], 0.97))
+    found = fit(docs, model, dict(zip(model.domains, (pure @ p / pure.sum()).tolist())))
+    assert found.met and np.abs(found.totals - pure @ p / pure.sum()).max() <= 1e-4
+    assert found.rates(words, p) @ (p * (words / words.sum())[:, None]) == pytest.approx(found.totals, abs=1e-6)
+
+
+def test_steps_send_no_classifier(spark, tables, monkeypatch):
+    """What is over 1 MB of a task's code is written to files as a broadcast; only the first pass needs the classifier."""
+    docs, known, _, _ = tables
+    model, sent = train(docs, known), []
+    broadcast = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(x) or broadcast(x))
+    fit(docs, model, {"quality 1, toxic 0": 1.0})
+    assert len(sent) <= 1
