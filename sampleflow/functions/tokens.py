@@ -62,8 +62,8 @@ def split_words(text: Column) -> Column:
 
 
 def hex_bytes(text: Column) -> Column:
-    """The bytes of a text in UTF-8 as token ids, without a tokenizer."""
-    code = F.hex(F.encode(text, "UTF-8"))
-    n = (F.length(code) / 2).cast("int")
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.conv(F.substring(code, k * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))
-    return F.when(n > 0, each).otherwise(F.array().cast("array<bigint>"))
+    """The bytes of a text in UTF-8 as token ids, without a tokenizer. In Latin-1 each byte is a character,
+    so the text is split once; the function of a byte must not mention the text, or it is encoded for every byte."""
+    bytes_ = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
+    each = F.transform(bytes_, lambda c: F.ascii(c).cast("bigint"))
+    return F.when(F.length(text) > 0, each).otherwise(F.array().cast("array<bigint>"))

@@ -7,12 +7,14 @@ import json
 import random
 import struct
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from sampleflow.dataset import concat_datasets, from_df, from_files, from_iterable, from_mds, from_sequence, interleave_datasets
+from sampleflow.functions import hex_bytes
 from sampleflow.operators.combine import slots
 from sampleflow.operators.ordering import buffer_order
 from sampleflow.operators.tokens import packs
@@ -326,3 +328,15 @@ def test_shards_that_fail_for_good(tmp_path, monkeypatch):
     with pytest.raises(ConnectionError):
         list(shards.steady_rows("x.jsonl", "jsonl"))
     assert len(tries) == shards.TRIES
+
+
+def test_bytes_of_long_texts(spark):
+    """The work grows as the text: taking every byte from the whole text again took over 100 s here."""
+    odd = ["", None, "\x00a\x7f\x80\xff", "é日本語😀", "á\r\n\t ", "".join(map(chr, range(0x900)))]
+    long = "añ😀b" * 12_500
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*odd, long])], "i int, text string").select("i", hex_bytes(F.col("text")).alias("ids"))
+    df.where("i = 0").collect()  # starts what Spark needs
+    began = time.perf_counter()
+    got = {r.i: r.ids for r in df.collect()}
+    assert time.perf_counter() - began < 20
+    assert [got[i] for i in range(len(got))] == [list((t or "").encode()) for t in [*odd, long]]
